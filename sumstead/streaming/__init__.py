@@ -1,0 +1 @@
+"""Empty on purpose: none of the engine's operators works on streams."""
