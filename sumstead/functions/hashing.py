@@ -74,6 +74,10 @@ def json_list(items: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(items, ascii_json_text), ", "), F.lit("]"))
 
 
+def _date_json(day: Column) -> Column:
+    return F.coalesce(F.concat(F.lit('"'), day.cast("string"), F.lit('"')), F.lit("null"))
+
+
 def evidence_id(workspace: Column, run_id: Column, metric: Column, group_by: Column, filters: Column,
                 date_from: Column, date_to: Column, grain: Column, limit: Column) -> Column:
     """N21 over a table of queries: 16 hex digits naming query, run and workspace."""
@@ -82,9 +86,9 @@ def evidence_id(workspace: Column, run_id: Column, metric: Column, group_by: Col
         lambda e: F.concat(ascii_json_text(e["key"]), F.lit(": "), json_list(e["value"])),
     )
     query = F.concat(
-        F.lit('{"date_from": '), json_text(date_from.cast("string")),
+        F.lit('{"date_from": '), _date_json(date_from),
         F.lit(', "date_grain": '), ascii_json_text(grain),
-        F.lit(', "date_to": '), json_text(date_to.cast("string")),
+        F.lit(', "date_to": '), _date_json(date_to),
         F.lit(', "filters": {'), F.array_join(filter_members, ", "),
         F.lit('}, "group_by": '), json_list(group_by),
         F.lit(', "limit": '), limit.cast("string"),

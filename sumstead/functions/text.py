@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import unicodedata
 from functools import lru_cache
 
@@ -64,16 +65,6 @@ def entity_key(text: Column) -> Column:
     return casefold(F.regexp_replace(text, r"[^\p{L}\p{N}]+", ""))
 
 
-def remove_prefix(text: Column, prefix: str) -> Column:
-    return F.when(text.startswith(prefix), F.substring(text, len(prefix) + 1, 1 << 30)).otherwise(text)
-
-
-def remove_suffix(text: Column, suffix: str) -> Column:
-    return F.when(
-        text.endswith(suffix), F.left(text, F.char_length(text) - F.lit(len(suffix)))
-    ).otherwise(text)
-
-
 def contains_any(text: Column, words: tuple[str, ...]) -> Column:
     found = text.contains(words[0])
     for word in words[1:]:
@@ -83,8 +74,6 @@ def contains_any(text: Column, words: tuple[str, ...]) -> Column:
 
 def fill(template: str, **parts: Column | str) -> Column:
     """A text template with its {names} replaced by columns."""
-    import string
-
     pieces: list[Column] = []
     for literal, name, _, _ in string.Formatter().parse(template):
         if literal:

@@ -62,14 +62,17 @@ def slot_of(spread_by: list[str]) -> Column:
 
 def join_one(rows: DataFrame, one: DataFrame, key: str, how: str = "inner",
              spread_by: list[str] | None = None, bound: int | None = None,
-             hot_rows: int = HOT_ROWS, sketched: DataFrame | None = None) -> DataFrame:
+             hot_rows: int = HOT_ROWS, sketched: DataFrame | None = None,
+             bounded_by: DataFrame | None = None, growth: int = 1) -> DataFrame:
     """Joins many rows to at most one row per key ("inner" or "left").
 
     ``key`` may be a struct column, whose nulls then match each other.
     ``spread_by`` names columns that tell the rows of one key apart;
-    ``sketched`` is a cheaper frame with the same heavy keys.
+    ``sketched`` is a cheaper frame with the same heavy keys.  ``bounded_by``
+    is a table that ``one`` cannot outgrow by more than ``growth`` times.
     """
-    if fits_broadcast(one, bound):
+    limit = BROADCAST_BYTES if bound is None else bound
+    if fits_broadcast(one if bounded_by is None else bounded_by, limit // growth):
         return rows.join(F.broadcast(one), key, how)
     spread_by = spread_by or [c for c in rows.columns if c != key]
     key_hash = F.xxhash64(key)

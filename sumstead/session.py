@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str, master: str = "local[8]", shuffle_partitions: int = 8,
@@ -37,3 +37,14 @@ def shared_folder(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="sumstead-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The frame, written once to the shared folder and read back from there.
+
+    For frames that several branches of one plan use; survives lost executors.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint()
