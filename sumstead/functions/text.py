@@ -51,13 +51,24 @@ def _case_folds() -> dict[str, str]:
 
 
 def casefold(text: Column) -> Column:
+    """Python's casefold: lower case, then the few characters that fold further."""
     lowered = F.lower(text)
     folds = _case_folds()
-    pairs = F.create_map(*[F.lit(part) for pair in folds.items() for part in pair])
-    folded = F.array_join(
-        F.transform(F.split(lowered, ""), lambda ch: F.coalesce(F.try_element_at(pairs, ch), ch)), ""
+    single = {k: f for k, f in folds.items() if len(f) == 1}
+    # The sharp s is common, all other folds to several characters are rare.
+    several = {k: f for k, f in folds.items() if len(f) > 1 and k != "ß"}
+    folded = F.replace(
+        F.translate(lowered, "".join(single), "".join(single.values())), F.lit("ß"), F.lit("ss")
+    )
+    pairs = F.create_map(*[F.lit(part) for pair in several.items() for part in pair])
+    by_char = F.array_join(
+        F.transform(F.split(folded, ""), lambda ch: F.coalesce(F.try_element_at(pairs, ch), ch)), ""
+    )
+    return (
+        F.when(~lowered.rlike("[" + "".join(folds) + "]"), lowered)
+        .when(~lowered.rlike("[" + "".join(several) + "]"), folded)
+        .otherwise(by_char)
     )
-    return F.when(lowered.rlike("[" + "".join(folds) + "]"), folded).otherwise(lowered)
 
 
 def entity_key(text: Column) -> Column:

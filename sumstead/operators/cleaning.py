@@ -215,13 +215,15 @@ def accepted_sales(judged: DataFrame) -> DataFrame:
 
 def repair_events(candidates: DataFrame) -> DataFrame:
     """Repairs of all candidates, also of rows that are dropped later."""
-    return candidates.select(
+    # The outer form keeps the optimizer from copying the whole parse into a filter.
+    exploded = candidates.select(
         F.lit("sales").alias("source_name"),
         "source_row_number",
         F.col("order_id").alias("record_key"),
         F.lit("repaired").alias("action"),
-        F.explode("repairs").alias("_repair"),
-    ).select(
+        F.explode_outer("repairs").alias("_repair"),
+    )
+    return exploded.where(F.col("_repair").isNotNull()).select(
         "source_name", "source_row_number", "record_key", "action",
         F.col("_repair.reason_code").alias("reason_code"),
         F.to_json(F.struct("_repair.field", "_repair.original")).alias("details"),

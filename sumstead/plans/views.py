@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +38,7 @@ STAR_MODEL = SemanticModel(
     dimensions=(
         Dimension("date", "日期", "date", "sale_date"),
         Dimension("store", "门店", "entity", "store_name", "store"),
+        Dimension("store_key", "门店编号", "entity", "store_id"),
         Dimension("store_category", "门店品类", "category", "category", "store"),
         Dimension("product", "商品", "entity", "product_name", "product"),
         Dimension("product_category", "商品品类", "category", "product_category", "product"),
@@ -357,4 +357,19 @@ qlog AS (
     o_orderkey % 600 + 1 AS lim
   FROM orders)"""
 
-FIRST_DAY = dt.date(1995, 1, 1)
+
+
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run table: one run per order, one workspace per priority."""
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("run_id"),
+        F.col("o_orderpriority").alias("workspace_slug"),
+        F.when(F.col("o_orderstatus") == "O", "running").otherwise("completed").alias("status"),
+    )
+
+
+RUN_LOG_SQL = """
+runs AS (
+  SELECT o_orderkey AS run_id, o_orderpriority AS workspace_slug,
+    CASE WHEN o_orderstatus = 'O' THEN 'running' ELSE 'completed' END AS status
+  FROM orders)"""
