@@ -65,12 +65,23 @@ def casefold(text: Column) -> Column:
         F.transform(F.split(folded, ""), lambda ch: F.coalesce(F.try_element_at(pairs, ch), ch)), ""
     )
     return (
-        F.when(~lowered.rlike("[" + "".join(folds) + "]"), lowered)
-        .when(~lowered.rlike("[" + "".join(several) + "]"), folded)
+        F.when(~lowered.rlike(_char_class(folds)), lowered)
+        .when(~lowered.rlike(_char_class(several)), folded)
         .otherwise(by_char)
     )
 
 
+def _char_class(chars: dict[str, str]) -> str:
+    """A few ranges that cover the characters: cheap to test, may match others."""
+    ranges: list[list[str]] = []
+    for ch in sorted(chars):
+        if ranges and ord(ch) - ord(ranges[-1][1]) < 0x200 and ord(ranges[-1][0]) > 0xFF:
+            ranges[-1][1] = ch
+        else:
+            ranges.append([ch, ch])
+    return "[" + "".join(f"{a}-{b}" for a, b in ranges) + "]"
+
+
 def entity_key(text: Column) -> Column:
     """Letters and numbers only, case-folded."""
     return casefold(F.regexp_replace(text, r"[^\p{L}\p{N}]+", ""))

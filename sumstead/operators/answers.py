@@ -22,9 +22,12 @@ from sumstead.model import MetricQuery, Workspace
 from sumstead.operators import questions as q
 from sumstead.operators.conversations import CHUNK, contexts, state
 from sumstead.operators.insights import last_two_months, monthly_series
-from sumstead.operators.linking import link_products
-from sumstead.operators.skew import join_one
+from sumstead.operators.linking import link_texts
+from sumstead.operators.skew import fits_broadcast, join_one
+from sumstead.session import cut_lineage
 
+# A question's identity; its words are in ``text``.
+ROW = ("conv_id", "turn")
 PERIODS = 13
 RANKED = 10
 
@@ -73,39 +76,28 @@ def by_period(facts: DataFrame, day: str, year: int) -> DataFrame:
     return facts.withColumn("period", F.explode(periods))
 
 
-def _cells(workspace: Workspace, key: str, year: int, orders: bool) -> DataFrame:
-    """Revenue (and distinct orders) by dimension key and period."""
+def _period_facts(workspace: Workspace, key: str, year: int) -> DataFrame:
     model = workspace.model
-    day = model.date_column
-    columns = [F.col(key).alias("_key"), F.col(day).alias("_day"), F.col("amount_cents")]
-    if orders:
-        columns.append(F.col("order_id"))
-    facts = workspace.facts.select(*columns)
-    if orders:
-        per_order = facts.groupBy("_key", F.trunc("_day", "month").alias("_day"), "order_id").agg(
-            F.sum("amount_cents").alias("amount_cents")
-        )
-        spread = by_period(per_order, "_day", year)
-        return spread.groupBy("_key", "period", "order_id").agg(F.sum("amount_cents").alias("amount_cents"))
-    monthly = facts.groupBy("_key", F.trunc("_day", "month").alias("_day")).agg(
-        F.sum("amount_cents").alias("amount_cents")
-    )
-    spread = by_period(monthly, "_day", year)
-    return spread.groupBy("_key", "period").agg(F.sum("amount_cents").alias("amount_cents"))
+    facts = workspace.facts.select(F.col(key).alias("_key"), F.col(model.date_column).alias("_day"), "amount_cents", "order_id")
+    return by_period(facts, "_day", year)
 
 
-def revenue_by_period(workspace: Workspace, dimension: str, year: int,
-                      bound: int | None = None) -> DataFrame:
-    """The cube behind J8, L9 and L11: (name, period, value)."""
+def _names(workspace: Workspace, dimension: str) -> tuple[str, DataFrame]:
+    """The fact key of a dimension, and its names by key."""
     model = workspace.model
     dim = model.dimension(dimension)
     relation = model.relation(dim.table)
-    names = workspace.tables[dim.table].select(
+    return relation.fact_key, workspace.tables[dim.table].select(
         F.col(relation.table_key).alias("_key"), F.col(dim.column).alias("name")
     )
-    cells = _cells(workspace, relation.fact_key, year, orders=False)
+
+
+def revenue_by_period(workspace: Workspace, dimension: str, year: int, bound: int | None = None) -> DataFrame:
+    """The cube behind J8, L9 and L11: (name, period, value)."""
+    key, names = _names(workspace, dimension)
+    cells = _period_facts(workspace, key, year).groupBy("_key", "period").agg(F.sum("amount_cents").alias("_cents"))
     return join_one(cells, names, "_key", bound=bound).groupBy("name", "period").agg(
-        F.sum("amount_cents").cast("bigint").alias("value")
+        F.sum("_cents").cast("bigint").alias("value")
     )
 
 
@@ -138,12 +130,11 @@ def product_rankings(workspace: Workspace, year: int, bound: int | None = None)
 
 def store_leaders(workspace: Workspace, year: int, bound: int | None = None) -> DataFrame:
     """Number of stores, the revenue leader and its average order value."""
-    model = workspace.model
-    relation = model.relation("store")
-    names = workspace.tables["store"].select(
-        F.col(relation.table_key).alias("_key"), F.col(model.dimension("store").column).alias("name")
-    )
-    cells = _cells(workspace, relation.fact_key, year, orders=True)
+    key, names = _names(workspace, "store")
+    cells = _period_facts(workspace, key, year)
+    if not fits_broadcast(names, bound):
+        # One row per store, period and order before anything is shuffled to a join.
+        cells = cells.groupBy("_key", "period", "order_id").agg(F.sum("amount_cents").alias("amount_cents"))
     stores = join_one(cells, names, "_key", bound=bound).groupBy("name", "period").agg(
         F.sum("amount_cents").cast("bigint").alias("value"), F.count_distinct("order_id").alias("orders")
     )
@@ -180,8 +171,17 @@ def _leaves_context(cal: Calendar, month: Column) -> dict[str, Column]:
 
 
 def read_and_link(questions: DataFrame, workspace: Workspace, bound: int | None = None) -> DataFrame:
-    """L1-L6 for every question."""
-    return link_products(q.read_questions(questions), workspace, bound=bound)
+    """L1-L6 for every question.
+
+    Equal texts are read and linked once, however often they are asked, and
+    their readings are stored because several branches use them.
+    """
+    texts = cut_lineage(q.read_questions(questions.select("text").distinct()))
+    linked = link_texts(texts, workspace, questions, bound)
+    return join_one(
+        questions, linked, "text", "left", list(ROW), bound=bound, sketched=questions.select("text"),
+        bounded_by=questions, growth=8,
+    )
 
 
 def resolve(questions: DataFrame, workspace: Workspace, cal: Calendar, bound: int | None = None,
@@ -370,7 +370,7 @@ def answer(questions: DataFrame, workspace: Workspace, year: int | None = None,
     )
     keyed = rows.withColumn("_cell", F.when(F.col("product").isNotNull(), F.struct("product", "period")))
     valued = join_one(
-        keyed, cube, "_cell", "left", given, bound=bound, bounded_by=workspace.tables["product"], growth=PERIODS
+        keyed, cube, "_cell", "left", list(ROW), bound=bound, bounded_by=workspace.tables["product"], growth=PERIODS,
     ).withColumn("_value", F.coalesce("_value", F.lit(0)).cast("bigint"))
     intent, month, product, value = F.col("intent"), F.col("month"), F.col("product"), F.col("_value")
     is_product = intent == q.PRODUCT_REVENUE

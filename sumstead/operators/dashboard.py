@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumstead.functions.display import acceptance_rate, grain_text, guarded_ratio
@@ -10,74 +10,70 @@ from sumstead.model import MetricQuery, Workspace
 from sumstead.operators.metrics import aggregate, metric_table, relative_to_leader
 from sumstead.operators.skew import fits_broadcast, join_one
 
-PARTS = ("overall", "day", "month", "product", "store_category", "store")
-
-
 def dashboard(workspace: Workspace, query: MetricQuery | None = None, bound: int | None = None) -> DataFrame:
     """One row per group of each part: revenue everywhere, orders where shown.
 
-    Revenue is added up to (day, product, store) before the grouping sets fan
-    out, order ids are made distinct per (month, store) before theirs do.
+    Revenue is added up by day, by store key and by product key in one pass,
+    which leaves one row per day, store and product; names, months and the
+    total follow from those.  Order ids are counted by name, month and overall.
     """
     query = query or MetricQuery("revenue")
     query.check(workspace.model)
     model = workspace.model
-    scoped = Workspace(model, _scoped(workspace, query, bound), workspace.tables, workspace.run_id)
+    facts = _scoped(workspace, query, bound)
     day = F.col(model.date_column)
     store, product = model.relation("store"), model.relation("product")
-
-    cells = scoped.facts.groupBy(
-        day.alias("_day"), F.col(store.fact_key).alias("_key_store"), F.col(product.fact_key).alias("_key_product")
-    ).agg(F.sum("amount_cents").alias("_cents"))
     stores = workspace.tables["store"].select(
-        F.col(store.table_key).alias("_key_store"), F.col("store_name").alias("store"),
+        F.col(store.table_key).alias("_store"), F.col("store_name").alias("store"),
         F.col("category").alias("store_category"),
     )
     products = workspace.tables["product"].select(
-        F.col(product.table_key).alias("_key_product"), F.col("product_name").alias("product")
+        F.col(product.table_key).alias("_product"), F.col("product_name").alias("product")
     )
-    named = join_one(join_one(cells, stores, "_key_store", bound=bound), products, "_key_product", bound=bound)
-    sums = (
-        named.select(
-            grain_text(F.col("_day"), "day").alias("day"), grain_text(F.col("_day"), "month").alias("month"),
-            "product", "store_category", "store", "_cents",
-        )
-        .groupingSets([[], ["day"], ["month"], ["product"], ["store_category"], ["store"]], *PARTS[1:])
-        .agg(F.sum("_cents").alias("revenue"), F.grouping_id().alias("_set"))
+    keyed = facts.select(
+        day.alias("_day"), F.col(store.fact_key).alias("_store"), F.col(product.fact_key).alias("_product"),
+        "amount_cents",
     )
-    orders = (
-        scoped.facts.select(
-            grain_text(day, "month").alias("month"), F.col(store.fact_key).alias("_key_store"), "order_id"
-        ).distinct()
+    sums = keyed.groupingSets([["_day"], ["_store"], ["_product"]], "_day", "_store", "_product").agg(
+        F.sum("amount_cents").alias("_cents")
     )
-    counts = (
-        join_one(orders, stores.drop("store_category"), "_key_store", bound=bound)
-        .groupingSets([[], ["month"], ["store"]], "month", "store")
-        .agg(F.count_distinct("order_id").alias("order_count"), F.grouping_id().alias("_set"))
+    named = join_one(join_one(sums, stores, "_store", "left", bound=bound), products, "_product", "left", bound=bound)
+    labels = F.when(
+        F.col("_day").isNotNull(),
+        F.array(
+            _labelled("overall", F.lit("")), _labelled("day", grain_text(F.col("_day"), "day")),
+            _labelled("month", grain_text(F.col("_day"), "month")),
+        ),
+    ).when(
+        F.col("_store").isNotNull(),
+        F.array(_labelled("store", F.col("store")), _labelled("store_category", F.col("store_category"))),
+    ).otherwise(F.array(_labelled("product", F.col("product"))))
+    revenue = named.select(F.inline(labels), "_cents").groupBy("part", "label").agg(
+        F.sum("_cents").cast("bigint").alias("revenue")
     )
-    left = sums.select(_part(("day", "month", "product", "store_category", "store")), _label(PARTS[1:]), "revenue")
-    right = counts.select(_part(("month", "store")), _label(("month", "store")), "order_count")
-    return (
-        left.join(right, ["part", "label"], "left")
+    orders = facts.select(
+        F.trunc(day, "month").alias("_month"), F.col(store.fact_key).alias("_store"), "order_id"
+    ).distinct()
+    counts = (
+        join_one(orders, stores.drop("store_category"), "_store", bound=bound)
+        .groupingSets([[], ["_month"], ["store"]], "_month", "store")
+        .agg(F.count_distinct("order_id").alias("order_count"))
         .select(
-            "part", "label", F.coalesce("revenue", F.lit(0)).cast("bigint").alias("revenue"), "order_count",
-            F.when(F.col("order_count").isNotNull(), guarded_ratio(F.coalesce("revenue", F.lit(0)), F.col("order_count")))
-            .alias("average_order_value"),
+            F.when(F.col("_month").isNotNull(), "month").when(F.col("store").isNotNull(), "store")
+            .otherwise("overall").alias("part"),
+            F.coalesce(grain_text(F.col("_month"), "month"), "store", F.lit("")).alias("label"),
+            "order_count",
         )
     )
+    return revenue.join(counts, ["part", "label"], "left").select(
+        "part", "label", "revenue", "order_count",
+        F.when(F.col("order_count").isNotNull(), guarded_ratio(F.col("revenue"), F.col("order_count")))
+        .alias("average_order_value"),
+    )
 
 
-def _part(names: tuple[str, ...]):
-    """Which grouping set a row belongs to, from its grouping id."""
-    part = F.lit("overall")
-    for i, name in enumerate(names):
-        alone = (1 << len(names)) - 1 - (1 << (len(names) - 1 - i))
-        part = F.when(F.col("_set") == alone, name).otherwise(part)
-    return part.alias("part")
-
-
-def _label(names: tuple[str, ...]):
-    return F.coalesce(*[F.col(n) for n in names], F.lit("")).alias("label")
+def _labelled(part: str, label: Column) -> Column:
+    return F.struct(F.lit(part).alias("part"), label.alias("label"))
 
 
 def _scoped(workspace: Workspace, query: MetricQuery, bound: int | None) -> DataFrame:

@@ -91,32 +91,29 @@ def question_matches(questions: DataFrame, key: str, shortest: DataFrame, table:
     )
 
 
-def link_products(questions: DataFrame, workspace: Workspace, text: str = "text", phrase: str = "phrase",
-                  bound: int | None = None) -> DataFrame:
+def link_texts(texts: DataFrame, workspace: Workspace, size_of: DataFrame, bound: int | None = None) -> DataFrame:
     """Adds ``match_count``, ``matched`` and ``own_product``.
 
-    One match is the product, several are refused, none falls back to the
-    phrase.  Questions that name no product are not looked at twice.
+    ``texts`` has one row per ``text`` and a ``phrase``; ``size_of`` is the
+    table the texts come from.  One match is the product, several are refused,
+    none falls back to the phrase.
     """
     table = workspace.tables["product"]
     # Each is used several times below and no larger than the product table's names.
     catalog = cut_lineage(product_catalog(workspace))
     aliases = cut_lineage(unique_aliases(catalog))
-    keyed = questions.withColumn("_question", entity_key(F.col(text))).withColumn(
-        "_phrase", entity_key(F.col(phrase))
-    )
-    row_id = [c for c in questions.columns]
+    keyed = texts.withColumn("_question", entity_key(F.col("text"))).withColumn("_phrase", entity_key(F.col("phrase")))
     matches = question_matches(keyed, "_question", shortest_aliases(aliases), table, bound)
-    matched = join_one(keyed, matches, "_question", "left", row_id, bound=bound)
+    matched = join_one(keyed, matches, "_question", "left", ["text"], bound=bound, bounded_by=size_of, growth=4)
     index = _phrase_index(catalog, aliases).select(
         F.col("alias").alias("_phrase"), F.col("product").alias("_by_phrase")
     )
     with_phrase = join_one(
-        matched, index, "_phrase", "left", row_id, bound=bound, sketched=keyed, bounded_by=table, growth=ALIAS_GROWTH
+        matched, index, "_phrase", "left", ["text"], bound=bound, sketched=keyed, bounded_by=table, growth=ALIAS_GROWTH
     )
     count = F.coalesce("match_count", F.lit(0))
     return with_phrase.select(
-        *questions.columns,
+        *texts.columns,
         count.cast("bigint").alias("match_count"),
         F.when(count == 1, F.col("matched")).alias("matched"),
         F.when(count == 1, F.col("matched")).when(count == 0, F.col("_by_phrase")).alias("own_product"),

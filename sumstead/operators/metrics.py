@@ -102,11 +102,20 @@ def _plain_dimensions(workspace: Workspace, query: MetricQuery) -> dict[str, Col
     for key in query.group_by:
         dim = workspace.model.dimension(key)
         if dim.table is None:
-            is_date = dim.data_type == "date"
-            plain[key] = grain_text(F.col(dim.column), query.grain) if is_date else F.col(dim.column)
+            # Dates are grouped as dates and become text afterwards.
+            by_month = dim.data_type == "date" and query.grain == "month"
+            plain[key] = F.trunc(dim.column, "month") if by_month else F.col(dim.column)
     return plain
 
 
+def _dimension_text(model: SemanticModel, key: str, grain: str) -> Column:
+    """N9 and N10"""
+    dim = model.dimension(key)
+    if dim.table is None and dim.data_type == "date":
+        return grain_text(F.col(key), grain)
+    return F.col(key).cast("string")
+
+
 def aggregate(workspace: Workspace, query: MetricQuery, primitives: dict[str, Metric],
               bound: int | None = None) -> DataFrame:
     """A1, A2 and A4: grouped dimensions (text) and one column per primitive."""
@@ -132,7 +141,8 @@ def aggregate(workspace: Workspace, query: MetricQuery, primitives: dict[str, Me
         kind = AGGREGATE_KINDS[metric.kind]
         measures.append((kind.merge if large else kind.whole)(f"_field_{metric.field}").alias(key))
     grouped = rows.groupBy(*query.group_by).agg(*measures)
-    return grouped.select(*[F.col(g).cast("string").alias(g) for g in query.group_by], *primitives)
+    texts = [_dimension_text(workspace.model, g, query.grain).alias(g) for g in query.group_by]
+    return grouped.select(*texts, *primitives)
 
 
 def metric_points(workspace: Workspace, query: MetricQuery, bound: int | None = None) -> DataFrame:

@@ -81,11 +81,13 @@ def _without_prefixes(text: Column) -> Column:
     return F.regexp_replace(text, pattern, "")
 
 
-def revenue_phrase(plain: Column) -> Column:
+def revenue_phrase(plain: Column, month: Column) -> Column:
     """L4: a revenue question without its revenue and month words."""
     text = _without_prefixes(F.btrim(plain, F.lit(fixed.QUESTION_EDGE_MARKS)))
     # Only the first month phrase goes.
-    text = F.regexp_replace(text, rf"^(?s)(?U)(.*?){_MONTH_PHRASE}", "$1")
+    text = F.when(
+        month.isNotNull(), F.regexp_replace(text, rf"^(?s)(?U)(.*?){_MONTH_PHRASE}", "$1")
+    ).otherwise(text)
     text = reduce(lambda t, phrase: F.replace(t, F.lit(phrase), F.lit("")), fixed.REVENUE_PHRASES, text)
     text = F.btrim(text, F.lit(fixed.PRODUCT_EDGE_MARKS))
     return F.regexp_replace(text, "^" + fixed.PRODUCT_LEAD_WORD, "")
@@ -111,7 +113,7 @@ def read_questions(questions: DataFrame, text: str = "text") -> DataFrame:
     )
     phrased = ruled.withColumn(
         "phrase",
-        F.when(F.col("_rule") == PRODUCT_REVENUE, F.nullif(revenue_phrase(F.col("plain")), F.lit("")))
+        F.when(F.col("_rule") == PRODUCT_REVENUE, F.nullif(revenue_phrase(F.col("plain"), F.col("month")), F.lit("")))
         .when(F.col("_rule") == "product_summary", F.nullif(summary_phrase(F.col("plain")), F.lit(""))),
     )
     summary = F.col("_rule") == "product_summary"
