@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from sumstead.functions import values
 from sumstead.functions.text import strip_or_null
 from sumstead.operators.skew import HOT_ROWS, fits_broadcast, hot_hashes, join_one, mark_hot, slot_of
+from sumstead.session import cut_lineage
 
 # The canonical content of a row: two rows that agree here are copies.
 CONTENT = (
@@ -350,7 +351,9 @@ def restaurant_processor(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
     stores = require_valid_dimension(canonicalize_stores(raw["stores"]), "store_id")
     products = require_valid_dimension(canonicalize_products(raw["products"]), "product_id")
     candidates = normalize_sales(raw["sales"])
-    run = CleanRun(candidates, judge(candidates, stores, products), stores, products)
+    # Accepted rows, events and the summary all start from the judged rows.
+    judged = cut_lineage(judge(candidates, stores, products))
+    run = CleanRun(candidates, judged, stores, products)
     return {
         "sales": run.accepted,
         "stores": stores.drop("source_row_number"),
