@@ -144,7 +144,9 @@ class RunStore:
             frame = tables[name]
             if name == "sales":
                 month = F.date_format("sale_date", "yyyy-MM").alias("sale_month")
-                frame.select("*", month).write.mode("overwrite").partitionBy("sale_month").parquet(
+                # Ranges keep a month in few files and split a month that is very large.
+                ranged = frame.select("*", month).repartitionByRange("sale_month", "source_row_number")
+                ranged.write.mode("overwrite").partitionBy("sale_month").parquet(
                     self._path("clean", f"run_id={run_id}", name)
                 )
             else:
