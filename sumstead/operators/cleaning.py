@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sumstead.functions import values
-from sumstead.functions.text import strip_or_null
 from sumstead.operators.skew import HOT_ROWS, fits_broadcast, hot_hashes, join_one, mark_hot, slot_of
 from sumstead.session import cut_lineage
 

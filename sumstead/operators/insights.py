@@ -14,7 +14,6 @@ from sumstead import fixed_values as fixed
 from sumstead.functions.display import (
     direction,
     grain_text,
-    guarded_ratio,
     money,
     percent_change,
     percent_text,

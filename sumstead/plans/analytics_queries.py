@@ -176,7 +176,7 @@ def a5_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a9_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reference's exact median, of every product's daily revenue by month."""
+    """The exact median of every product's daily revenue, by month."""
     facts = v.star_workspace(spark, sf_dir).facts
     daily = facts.groupBy("product_id", "sale_date").agg(F.sum("amount_cents").alias("revenue"))
     return daily.groupBy(F.date_format("sale_date", "yyyy-MM").alias("month")).agg(

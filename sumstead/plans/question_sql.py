@@ -4,7 +4,7 @@ from functools import reduce
 
 from sumstead import fixed_values as fx
 from sumstead.operators.questions import MONTH_ORDER
-from sumstead.plans.analytics_sql import AOV, MONTH, ORDERS, SUM, evidence, money, percent, two
+from sumstead.plans.analytics_sql import AOV, MONTH, SUM, evidence, money, percent
 from sumstead.plans.views import QUESTION_SQL, STAR_SQL
 
 
