@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,7 @@ from sumstead.functions.text import entity_key
 from sumstead.model import Source
 from sumstead.operators import cleaning as c
 from sumstead.plans import views as v
-from sumstead.session import shared_folder
+from sumstead.session import new_folder
 from sumstead.sources import runs as r
 from sumstead.sources import scans
 
@@ -28,15 +27,11 @@ def write_csv(frame: DataFrame, path: str) -> str:
     return path
 
 
-def _new_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
-
-
 def run_store(spark: SparkSession, sf_dir: str) -> r.RunStore:
     """The raw tables as CSV files, taken in twice and processed twice."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORES:
-        base = _new_folder(spark)
+        base = new_folder(spark, "run")
         ordered = v.raw_sales(spark, sf_dir).orderBy("source_row_number")
         frames = {
             "sales": ordered, "stores": v.raw_stores(spark, sf_dir), "products": v.raw_products(spark, sf_dir)
@@ -57,7 +52,7 @@ def run_store(spark: SparkSession, sf_dir: str) -> r.RunStore:
 
 def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = v.raw_sales(spark, sf_dir).drop("source_row_number")
-    return scans.scan(spark, Source("sales", write_csv(raw, f"{_new_folder(spark)}/sales")))
+    return scans.scan(spark, Source("sales", write_csv(raw, f"{new_folder(spark, "run")}/sales")))
 
 
 def s1_text_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +72,7 @@ def s3_ragged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 4 == 2, F.concat(k, F.lit(",,")))
         .otherwise(F.concat(k, F.lit(",1,2,3")))
     )
-    path = f"{_new_folder(spark)}/ragged"
+    path = f"{new_folder(spark, "run")}/ragged"
     # One column whose name is the header line and whose values are the lines.
     v.table(spark, sf_dir, "orders").select(line.alias("k,first,second")).write.csv(
         path, header=True, sep="\t", quote="", escapeQuotes=False

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,27 +28,32 @@ def build_session(app: str, master: str = "local[8]", shuffle_partitions: int =
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, from ``spark.checkpoint.dir``.
+    """Folder every executor can reach, as ``spark.checkpoint.dir`` names it.
 
-    Only a local session may fall back to a temporary folder: on a cluster a
-    machine-local folder is lost with its executor.
+    Where it is unset, as in tests, a session in one JVM gets a folder of its
+    own; a cluster has to name one, as a machine's folder is lost with it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="sumstead-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The frame, written once to the shared folder and read back from there.
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own below the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    For frames that several branches of one plan use; survives lost executors.
+
+def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+    """The frame, written once to the shared folder as Parquet and read back.
+
+    For frames that several branches of one plan use; survives lost executors,
+    and later readers still get pruning and statistics.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

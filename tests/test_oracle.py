@@ -16,7 +16,7 @@ QUICK = (
     "q_q6_accepted", "q_u1_ledger", "q_q8_quality_summary", "q_s3_ragged_rows", "q_s4_fingerprints", "q_n21_evidence",
     "q_l4_phrases", "q_l15_citations",
 )
-NAMES = sorted(contract.queries()) if os.environ.get("ALL_QUERIES") else QUICK
+NAMES = sorted(n for n in contract.queries() if n.startswith("q_")) if os.environ.get("ALL_QUERIES") else QUICK
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +28,8 @@ def database():
 
 
 def test_every_query_has_an_oracle():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    wanted = {n for n in contract.queries() if n.startswith("q_")}
+    assert wanted == {n for n in contract.oracle_sql() if n.startswith("q_")}
 
 
 @pytest.mark.parametrize("name", NAMES)
