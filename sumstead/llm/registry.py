@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sumstead.llm import chat_format, packing, quality_rules, token_counts, token_files
+from sumstead.llm import chat_format, packing, quality_rules, simhash_tree, token_counts, token_files
 
-_MODULES = (packing, token_files, quality_rules, chat_format, token_counts)
+_MODULES = (packing, token_files, quality_rules, chat_format, simhash_tree, token_counts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
