@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sumstead.llm import chat_format, decontaminate, packing, quality_rules, simhash_tree, token_counts, token_files
+from sumstead.llm import chat_format, decontaminate, packing, quality_classifier, quality_rules, simhash_tree, token_counts, token_files
 
-_MODULES = (packing, token_files, quality_rules, decontaminate, chat_format, simhash_tree, token_counts)
+_MODULES = (
+    packing, quality_classifier, token_files, quality_rules, decontaminate, chat_format, simhash_tree, token_counts,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
