@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sumstead.llm import chat_format, decontaminate, packing, quality_classifier, quality_rules, simhash_tree, token_counts, token_files
+from sumstead.llm import (
+    chat_format,
+    decontaminate,
+    line_dedup,
+    packing,
+    quality_classifier,
+    quality_rules,
+    simhash_tree,
+    token_counts,
+    token_files,
+)
 
 _MODULES = (
-    packing, quality_classifier, token_files, quality_rules, decontaminate, chat_format, simhash_tree, token_counts,
+    line_dedup, packing, quality_classifier, token_files, quality_rules, decontaminate, chat_format, simhash_tree, token_counts,
 )
 
 
