@@ -131,13 +131,17 @@ def shard_links(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]
 
 
 def block_choice(n: int, radius: int = RADIUS) -> tuple[int, int]:
-    """Numbers of blocks and of agreeing ones with the least expected work for ``n`` values."""
+    """Numbers of blocks and of agreeing ones with the least expected work for ``n`` values.
+
+    At least two blocks agree: with one, shards would soon have to give way to
+    three times as many rows.
+    """
     def work(agree: int) -> float:
         blocks = radius + agree
         shards = len(list(itertools.combinations(range(blocks), agree)))
         return shards * (1 + 0.2 * n / 2.0 ** (BITS * agree / blocks))
 
-    best = min(range(1, 5), key=work)
+    best = min(range(2, 6), key=work)
     return radius + best, best
 
 

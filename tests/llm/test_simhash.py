@@ -112,7 +112,7 @@ def test_close_values_share_a_shard(agree):
 
 def test_more_values_are_dealt_by_more_bits():
     chosen = [tree.block_choice(10**n)[1] for n in range(3, 12)]
-    assert chosen == sorted(chosen) and chosen[0] == 1 and chosen[-1] > 2
+    assert chosen == sorted(chosen) and chosen[0] == 2 and chosen[-1] > 3
 
 
 def test_components_of_a_long_path_and_a_star(spark):
