@@ -14,12 +14,14 @@ from sumstead.llm import (
     quality_classifier,
     quality_rules,
     simhash_tree,
+    suffix_dedup,
     token_counts,
     token_files,
 )
 
 _MODULES = (
     line_dedup, packing, quality_classifier, token_files, quality_rules, decontaminate, chat_format, simhash_tree, token_counts,
+    suffix_dedup,
 )
 
 
