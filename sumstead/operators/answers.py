@@ -23,7 +23,7 @@ from sumstead.operators import questions as q
 from sumstead.operators.conversations import CHUNK, contexts, state
 from sumstead.operators.insights import last_two_months, monthly_series
 from sumstead.operators.linking import link_texts
-from sumstead.operators.skew import fits_broadcast, join_one
+from sumstead.operators.skew import join_one
 from sumstead.session import cut_lineage
 
 # A question's identity; its words are in ``text``.
@@ -69,17 +69,17 @@ def calendar(workspace: Workspace, year: int | None = None) -> Calendar:
     return Calendar(row["year"] or 1, row["first_day"], row["last_day"], row["months"], tuple(row["sold_months"] or ()))
 
 
-def by_period(facts: DataFrame, day: str, year: int) -> DataFrame:
-    """Facts repeated for all time and, inside ``year``, for their month."""
-    month = F.when(F.year(day) == year, F.month(day))
-    periods = F.array_compact(F.array(F.lit(0), month))
-    return facts.withColumn("period", F.explode(periods))
+def _monthly(workspace: Workspace, key: str, year: int, *also: str) -> DataFrame:
+    """Cents by key, month of ``year`` (null outside it) and other columns: facts are added up once."""
+    day = F.col(workspace.model.date_column)
+    month = F.when(F.year(day) == year, F.month(day)).alias("_month")
+    facts = workspace.facts.select(F.col(key).alias("_key"), month, "amount_cents", *also)
+    return facts.groupBy("_key", "_month", *also).agg(F.sum("amount_cents").alias("amount_cents"))
 
 
-def _period_facts(workspace: Workspace, key: str, year: int) -> DataFrame:
-    model = workspace.model
-    facts = workspace.facts.select(F.col(key).alias("_key"), F.col(model.date_column).alias("_day"), "amount_cents", "order_id")
-    return by_period(facts, "_day", year)
+def _by_period(sums: DataFrame) -> DataFrame:
+    """Sums repeated for all time and for their month."""
+    return sums.withColumn("period", F.explode(F.array_compact(F.array(F.lit(0), "_month")))).drop("_month")
 
 
 def _names(workspace: Workspace, dimension: str) -> tuple[str, DataFrame]:
@@ -95,10 +95,9 @@ def _names(workspace: Workspace, dimension: str) -> tuple[str, DataFrame]:
 def revenue_by_period(workspace: Workspace, dimension: str, year: int, bound: int | None = None) -> DataFrame:
     """The cube behind J8, L9 and L11: (name, period, value)."""
     key, names = _names(workspace, dimension)
-    cells = _period_facts(workspace, key, year).groupBy("_key", "period").agg(F.sum("amount_cents").alias("_cents"))
-    return join_one(cells, names, "_key", bound=bound).groupBy("name", "period").agg(
-        F.sum("_cents").cast("bigint").alias("value")
-    )
+    named = join_one(_monthly(workspace, key, year), names, "_key", bound=bound)
+    months = named.groupBy("name", "_month").agg(F.sum("amount_cents").alias("amount_cents"))
+    return _by_period(months).groupBy("name", "period").agg(F.sum("amount_cents").cast("bigint").alias("value"))
 
 
 def leaders(cube: DataFrame, n: int) -> DataFrame:
@@ -116,9 +115,9 @@ def category_leaders(workspace: Workspace, year: int, bound: int | None = None)
     return top.select("period", F.col("name").alias("category"), F.col("value").alias("category_value"))
 
 
-def product_rankings(workspace: Workspace, year: int, bound: int | None = None) -> DataFrame:
-    """One row per period with the ten names in order."""
-    top = leaders(revenue_by_period(workspace, "product", year, bound), RANKED)
+def product_rankings(products: DataFrame) -> DataFrame:
+    """One row per period with the ten names in order, from the product cube."""
+    top = leaders(products, RANKED)
     ordered = F.array_sort(F.collect_list(F.struct("position", "name", "value")))
     return top.groupBy("period").agg(ordered.alias("_top")).select(
         "period",
@@ -131,11 +130,9 @@ def product_rankings(workspace: Workspace, year: int, bound: int | None = None)
 def store_leaders(workspace: Workspace, year: int, bound: int | None = None) -> DataFrame:
     """Number of stores, the revenue leader and its average order value."""
     key, names = _names(workspace, "store")
-    cells = _period_facts(workspace, key, year)
-    if not fits_broadcast(names, bound):
-        # One row per store, period and order before anything is shuffled to a join.
-        cells = cells.groupBy("_key", "period", "order_id").agg(F.sum("amount_cents").alias("amount_cents"))
-    stores = join_one(cells, names, "_key", bound=bound).groupBy("name", "period").agg(
+    # One row per store, month and order before anything is joined or repeated.
+    cells = join_one(_monthly(workspace, key, year, "order_id"), names, "_key", bound=bound)
+    stores = _by_period(cells).groupBy("name", "period").agg(
         F.sum("amount_cents").cast("bigint").alias("value"), F.count_distinct("order_id").alias("orders")
     )
     counts = stores.groupBy("period").agg(F.count(F.lit(1)).alias("stores"))
@@ -177,10 +174,9 @@ def read_and_link(questions: DataFrame, workspace: Workspace, bound: int | None
     their readings are stored because several branches use them.
     """
     texts = cut_lineage(q.read_questions(questions.select("text").distinct()))
-    linked = link_texts(texts, workspace, questions, bound)
+    linked = link_texts(texts, workspace, bound)
     return join_one(
         questions, linked, "text", "left", list(ROW), bound=bound, sketched=questions.select("text"),
-        bounded_by=questions, growth=8,
     )
 
 
@@ -266,14 +262,17 @@ def _as_answer(intent: str, refusals: list[tuple[Column, str, Column | str]], te
     return F.struct(F.lit(intent).alias("intent"), reason.alias("reason"), worded.alias("answer"), cited.alias("citations"))
 
 
-def period_answers(workspace: Workspace, cal: Calendar, bound: int | None = None) -> DataFrame:
-    """All answers that name no product, one row per intent and period."""
+def period_answers(workspace: Workspace, cal: Calendar, products: DataFrame, bound: int | None = None) -> DataFrame:
+    """All answers that name no product, one row per intent and period.
+
+    ``products`` is the product cube of the calendar's year.
+    """
     year = cal.year
     trend = last_two_months(monthly_series(workspace))
     frame = _period_queries(workspace, cal)
     for part in (
         category_leaders(workspace, year, bound),
-        product_rankings(workspace, year, bound),
+        product_rankings(products),
         store_leaders(workspace, year, bound),
     ):
         # PERIODS rows at most on both sides.
@@ -360,18 +359,18 @@ def answer(questions: DataFrame, workspace: Workspace, year: int | None = None,
     cal = calendar(workspace, year)
     resolved = resolve(questions, workspace, cal, bound, chunk)
     period = F.coalesce(F.col("month"), F.lit(0)).cast("int")
+    # Ranked below and joined to the questions; stored, its real size decides how.
+    products = cut_lineage(revenue_by_period(workspace, "product", cal.year, bound), "products")
     # Four intents times PERIODS rows.
-    plain = period_answers(workspace, cal, bound).select(
+    plain = period_answers(workspace, cal, products, bound).select(
         "intent", "period", F.struct("reason", "answer", "citations").alias("_plain")
     )
     rows = resolved.withColumn("period", period).join(F.broadcast(plain), ["intent", "period"], "left")
-    cube = revenue_by_period(workspace, "product", cal.year, bound).select(
+    cube = products.select(
         F.struct(F.col("name").alias("product"), "period").alias("_cell"), F.col("value").alias("_value")
     )
     keyed = rows.withColumn("_cell", F.when(F.col("product").isNotNull(), F.struct("product", "period")))
-    valued = join_one(
-        keyed, cube, "_cell", "left", list(ROW), bound=bound, bounded_by=workspace.tables["product"], growth=PERIODS,
-    ).withColumn("_value", F.coalesce("_value", F.lit(0)).cast("bigint"))
+    valued = join_one(keyed, cube, "_cell", "left", list(ROW), bound=bound).withColumn("_value", F.coalesce("_value", F.lit(0)).cast("bigint"))
     intent, month, product, value = F.col("intent"), F.col("month"), F.col("product"), F.col("_value")
     is_product = intent == q.PRODUCT_REVENUE
     has_dates = cal.first_day is not None

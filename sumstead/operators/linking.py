@@ -18,7 +18,6 @@ from sumstead.operators.skew import join_one
 from sumstead.session import cut_lineage
 
 # One name of n characters has under n * n / 2 substrings; names are short.
-ALIAS_GROWTH = 256
 
 
 def product_catalog(workspace: Workspace) -> DataFrame:
@@ -77,13 +76,15 @@ def _phrase_index(catalog: DataFrame, aliases: DataFrame) -> DataFrame:
     return whole.unionByName(aliases).distinct()
 
 
-def question_matches(questions: DataFrame, key: str, shortest: DataFrame, table: DataFrame,
-                     bound: int | None = None) -> DataFrame:
-    """Per distinct question, how many names it names, and the only one."""
+def question_matches(questions: DataFrame, key: str, shortest: DataFrame, bound: int | None = None) -> DataFrame:
+    """Per distinct question, how many names it names, and the only one.
+
+    ``shortest`` comes from a stored table, whose size decides how it is joined.
+    """
     longest = shortest.agg(F.coalesce(F.max(F.char_length("alias")), F.lit(0))).scalar()
     texts = questions.select(key).distinct()
     grams = _substrings(texts, key, longest)
-    found = join_one(grams, shortest, "alias", "inner", [key], bound=bound, bounded_by=table, growth=ALIAS_GROWTH)
+    found = join_one(grams, shortest, "alias", "inner", [key], bound=bound)
     return (
         found.select(key, "product").distinct()
         .groupBy(key)
@@ -91,26 +92,22 @@ def question_matches(questions: DataFrame, key: str, shortest: DataFrame, table:
     )
 
 
-def link_texts(texts: DataFrame, workspace: Workspace, size_of: DataFrame, bound: int | None = None) -> DataFrame:
+def link_texts(texts: DataFrame, workspace: Workspace, bound: int | None = None) -> DataFrame:
     """Adds ``match_count``, ``matched`` and ``own_product``.
 
-    ``texts`` has one row per ``text`` and a ``phrase``; ``size_of`` is the
-    table the texts come from.  One match is the product, several are refused,
-    none falls back to the phrase.
+    ``texts`` is a stored table with one row per ``text`` and a ``phrase``.  One
+    match is the product, several are refused, none falls back to the phrase.
     """
-    table = workspace.tables["product"]
-    # Each is used several times below and no larger than the product table's names.
+    # Each is used several times below; what is stored has its real size.
     catalog = cut_lineage(product_catalog(workspace))
     aliases = cut_lineage(unique_aliases(catalog))
     keyed = texts.withColumn("_question", entity_key(F.col("text"))).withColumn("_phrase", entity_key(F.col("phrase")))
-    matches = question_matches(keyed, "_question", shortest_aliases(aliases), table, bound)
-    matched = join_one(keyed, matches, "_question", "left", ["text"], bound=bound, bounded_by=size_of, growth=4)
+    matches = question_matches(keyed, "_question", shortest_aliases(aliases), bound)
+    matched = join_one(keyed, matches, "_question", "left", ["text"], bound=bound)
     index = _phrase_index(catalog, aliases).select(
         F.col("alias").alias("_phrase"), F.col("product").alias("_by_phrase")
     )
-    with_phrase = join_one(
-        matched, index, "_phrase", "left", ["text"], bound=bound, sketched=keyed, bounded_by=table, growth=ALIAS_GROWTH
-    )
+    with_phrase = join_one(matched, index, "_phrase", "left", ["text"], bound=bound, sketched=keyed)
     count = F.coalesce("match_count", F.lit(0))
     return with_phrase.select(
         *texts.columns,

@@ -12,30 +12,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_BYTES = 32 * 1024 * 1024
+BROADCAST_BYTES = 64 * 1024 * 1024
+IN_MEMORY = 4
 HOT_KEYS = 4096
 SKETCH_ITEMS = 40_000
 HOT_ROWS = 200_000
 SLOTS = 256
 
 
-def planned_bytes(df: DataFrame) -> int | None:
-    """Bytes of all tables a frame reads, after pruning; None if not visible.
+def planned_bytes(df: DataFrame) -> int:
+    """Bytes in memory of all tables a frame reads, after pruning.
 
     The optimizer multiplies its estimates at every join.  The frames checked
-    here have one row per key, so what they read bounds them far better.
+    here have one row per key, so what they read bounds them far better.  Files
+    are compressed, so their bytes count IN_MEMORY times.
     """
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        sizes = [leaves.apply(i).stats().sizeInBytes() for i in range(leaves.size())]
-        return sum(int(size.toString()) for size in sizes)
-    except AttributeError:
-        return None
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return IN_MEMORY * sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def fits_broadcast(df: DataFrame, bound: int | None = None) -> bool:
-    size = planned_bytes(df)
-    return size is not None and size <= (BROADCAST_BYTES if bound is None else bound)
+    return planned_bytes(df) <= (BROADCAST_BYTES if bound is None else bound)
 
 
 def hot_hashes(rows: DataFrame, key_hash: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -62,17 +59,15 @@ def slot_of(spread_by: list[str]) -> Column:
 
 def join_one(rows: DataFrame, one: DataFrame, key: str, how: str = "inner",
              spread_by: list[str] | None = None, bound: int | None = None,
-             hot_rows: int = HOT_ROWS, sketched: DataFrame | None = None,
-             bounded_by: DataFrame | None = None, growth: int = 1) -> DataFrame:
+             hot_rows: int = HOT_ROWS, sketched: DataFrame | None = None) -> DataFrame:
     """Joins many rows to at most one row per key ("inner" or "left").
 
     ``key`` may be a struct column, whose nulls then match each other.
     ``spread_by`` names columns that tell the rows of one key apart;
-    ``sketched`` is a cheaper frame with the same heavy keys.  ``bounded_by``
-    is a table that ``one`` cannot outgrow by more than ``growth`` times.
+    ``sketched`` is a cheaper frame with the same heavy keys.  If ``one`` can
+    have more rows than what it reads, it must be a stored table.
     """
-    limit = BROADCAST_BYTES if bound is None else bound
-    if fits_broadcast(one if bounded_by is None else bounded_by, limit // growth):
+    if fits_broadcast(one, bound):
         return rows.join(F.broadcast(one), key, how)
     spread_by = spread_by or [c for c in rows.columns if c != key]
     key_hash = F.xxhash64(key)
