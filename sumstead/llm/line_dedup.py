@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumstead.llm.common import read_table
+from sumstead.llm.common import let, read_table
 from sumstead.session import cut_lineage
 
 MIN_WORDS = 6
@@ -147,7 +147,7 @@ def _verified(links: DataFrame, near: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document (``doc``, ``th``) with lines to remove: ``gone``, their numbers from 0."""
     lines = _lines(docs, id_column, text_column)
-    halves = _half_keys(F.split("line", " ")).alias("halves")
+    halves = let(F.split("line", " "), _half_keys).alias("halves")
     equal = lines.select("h", "g", _place().alias("place"), halves).groupBy("h", "g").agg(
         F.min("place").alias("first"), F.count(F.lit(1)).alias("c"), F.first("halves").alias("halves")
     )

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumstead.llm.common import read_table
+from sumstead.llm.common import let, read_table
 from sumstead.session import cut_lineage
 
 SAMPLE_ROWS = 2000
@@ -31,11 +31,6 @@ _BLANKS = "\t\n\x0b\f\r"
 _NOT_BLANK = r"[^\x20\x09-\x0D]"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, _BLANKS, " " * len(_BLANKS)), " "), "")
 
