@@ -115,7 +115,7 @@ def _neighbourhoods(lines: DataFrame) -> DataFrame:
 
 def _links(near: DataFrame) -> DataFrame:
     """For each line with an earlier neighbour: its first place and such a neighbour's."""
-    keyed = _neighbourhoods(near)
+    keyed = cut_lineage(_neighbourhoods(near), "neighbourhoods")
     whole, gap = F.col("gap") < 0, F.col("gap") >= 0
     # Least first places by key: of lines with this gap and length, of the whole line, of longer lines.
     same = keyed.where(gap).groupBy("key", "gap", "n").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("c"))
