@@ -341,15 +341,16 @@ class CleanRun:
 def clean(raw_sales: DataFrame, raw_stores: DataFrame, raw_products: DataFrame) -> CleanRun:
     stores = canonicalize_stores(raw_stores)
     products = canonicalize_products(raw_products)
-    candidates = normalize_sales(raw_sales)
-    return CleanRun(candidates, judge(candidates, stores, products), stores, products)
+    # Parsed once: judging, duplicates and repairs all start from these rows.
+    candidates = cut_lineage(normalize_sales(raw_sales), "candidates")
+    return CleanRun(candidates, cut_lineage(judge(candidates, stores, products), "judged"), stores, products)
 
 
 def restaurant_processor(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The processor of the sales domain."""
     stores = require_valid_dimension(canonicalize_stores(raw["stores"]), "store_id")
     products = require_valid_dimension(canonicalize_products(raw["products"]), "product_id")
-    candidates = normalize_sales(raw["sales"])
+    candidates = cut_lineage(normalize_sales(raw["sales"]), "candidates")
     # Accepted rows, events and the summary all start from the judged rows.
     judged = cut_lineage(judge(candidates, stores, products))
     run = CleanRun(candidates, judged, stores, products)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sumstead.functions.display import acceptance_rate, grain_text, guarded_ratio
 from sumstead.model import MetricQuery, Workspace
-from sumstead.operators.metrics import aggregate, metric_table, relative_to_leader
+from sumstead.operators.metrics import _filtered_facts, aggregate, metric_table, relative_to_leader
 from sumstead.operators.skew import fits_broadcast, join_one
 
 def dashboard(workspace: Workspace, query: MetricQuery | None = None, bound: int | None = None) -> DataFrame:
@@ -78,8 +78,6 @@ def _labelled(part: str, label: Column) -> Column:
 
 def _scoped(workspace: Workspace, query: MetricQuery, bound: int | None) -> DataFrame:
     """The facts inside the query's dates and filters, as fact rows."""
-    from sumstead.operators.metrics import _filtered_facts
-
     facts = _filtered_facts(workspace, query)
     model = workspace.model
     for name in dict.fromkeys(model.dimension(k).table for k in query.filters):
@@ -117,8 +115,7 @@ def store_comparison(workspace: Workspace, query: MetricQuery | None = None) ->
 def kpi_row(workspace: Workspace, summary: DataFrame) -> DataFrame:
     """M5: three overall metrics beside the acceptance rate, one row."""
     totals = metric_table(workspace, ("revenue", "order_count", "average_order_value"), MetricQuery("revenue"))
-    rate = summary.select(acceptance_rate(F.col("accepted_sales_records"), F.col("raw_sales_records")))
-    accepted = summary.select("accepted_sales_records")
-    return totals.select(
-        "*", rate.scalar().alias("acceptance_rate"), accepted.scalar().alias("accepted_sales_records")
-    )
+    rate = acceptance_rate(F.col("accepted_sales_records"), F.col("raw_sales_records")).alias("acceptance_rate")
+    # One value for both, so the run is read once.
+    both = summary.select(F.struct(rate, "accepted_sales_records")).scalar()
+    return totals.withColumn("_run", both).selectExpr("* EXCEPT (_run)", "_run.*")

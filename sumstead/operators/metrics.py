@@ -13,13 +13,14 @@ import datetime as dt
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sumstead.functions.display import grain_text, guarded_ratio
 from sumstead.model import (
     AGGREGATE_KINDS,
     Evidence,
+    GovernanceError,
     Metric,
     MetricQuery,
     MetricResult,
@@ -27,14 +28,19 @@ from sumstead.model import (
     Workspace,
 )
 from sumstead.operators.skew import fits_broadcast, join_one
+from sumstead.session import cut_lineage
 
 
 def metric_value(model: SemanticModel, key: str) -> Column:
     """A metric from the columns of its primitives."""
-    metric = model.metric(key)
-    if metric.kind != "ratio":
-        return F.col(key)
-    return guarded_ratio(metric_value(model, metric.numerator), metric_value(model, metric.denominator))
+    values: list[Column] = []
+    for metric, operands in model.expansion(key):
+        if operands:
+            denominator, numerator = values.pop(), values.pop()
+            values.append(guarded_ratio(numerator, denominator))
+        else:
+            values.append(F.col(metric.key))
+    return values.pop()
 
 
 def _month_range(value: str) -> tuple[dt.date, dt.date] | None:
@@ -158,23 +164,25 @@ def metric_points(workspace: Workspace, query: MetricQuery, bound: int | None =
 
 
 def metric_result(workspace: Workspace, query: MetricQuery) -> MetricResult:
-    """M1 with its evidence."""
-    points = metric_points(workspace, query)
+    """M1 with its evidence; the points, MAX_LIMIT rows at most, are stored and counted."""
+    points = cut_lineage(metric_points(workspace, query), "points")
     model, metric = workspace.model, workspace.model.metric(query.metric)
-    return MetricResult(
-        workspace=model.slug,
-        metric=metric.key,
-        label=metric.label,
-        format=metric.format,
-        currency=model.currency if metric.format == "currency" else None,
-        points=points,
-        evidence=Evidence(
-            evidence_id=query.evidence_id(model.slug, workspace.run_id),
-            processing_run_id=workspace.run_id,
-            metric_definition=metric.description,
-            scope=query.scope(),
-        ),
+    evidence = Evidence(
+        row_count=points.count(), evidence_id=query.evidence_id(model.slug, workspace.run_id),
+        processing_run_id=workspace.run_id, metric_definition=metric.description, scope=query.scope(),
     )
+    currency = model.currency if metric.format == "currency" else None
+    return MetricResult(model.slug, metric.key, metric.label, metric.format, currency, points, evidence)
+
+
+def check_keys(workspace: Workspace) -> None:
+    """Refuses a workspace in which a key of a dimension table occurs twice: joins would count facts twice."""
+    for relation in workspace.model.relations:
+        if relation.table in workspace.tables:
+            keys = workspace.tables[relation.table].groupBy(relation.table_key).count()
+            repeated = keys.where("count > 1").agg(F.count(F.lit(1))).first()[0]
+            if repeated:
+                raise GovernanceError(f"{repeated} keys of {relation.table} are not unique")
 
 
 def coverage(workspace: Workspace) -> DataFrame:
@@ -197,14 +205,13 @@ def top_groups(points: DataFrame, key: str, n: int = 10) -> DataFrame:
 
     ``position`` numbers n rows at most, whatever the number of groups.
     """
-    from pyspark.sql import Window
-
     order = (F.col("value").desc(), F.col(key).asc())
     return points.orderBy(*order).limit(n).withColumn("position", F.row_number().over(Window.orderBy(*order)))
 
 
 def relative_to_leader(groups: DataFrame, value: str) -> DataFrame:
-    """Share of the largest value in percent, which need not fit one task."""
+    """Share of the largest value in percent; the groups are stored, as they are needed twice."""
+    groups = cut_lineage(groups, "groups")
     top = groups.agg(F.max(value)).scalar()
     divisor = F.when(F.coalesce(top, F.lit(0)) == 0, F.lit(1)).otherwise(top)
     return groups.withColumn("share", F.col(value).cast("double") / divisor.cast("double") * 100)

@@ -20,13 +20,21 @@ from sumstead.plans import views as v
 
 FROM, TO = dt.date(1997, 3, 1), dt.date(1998, 2, 28)
 STORES = ("Supplier#000000001", "Supplier#000000002", "Supplier#000000007")
-ALL = 500
 
 
 def _points(spark: SparkSession, sf_dir: str, metric: str, *group_by: str, **parts) -> DataFrame:
     return m.metric_points(v.star_workspace(spark, sf_dir), MetricQuery(metric, group_by, **parts))
 
 
+def _groups(workspace: Workspace, metric: str, *group_by: str, **parts) -> DataFrame:
+    """Every group of a metric, where a limit is not the feature."""
+    return m.metric_table(workspace, (metric,), MetricQuery(metric, group_by, **parts)).withColumnRenamed(metric, "value")
+
+
+def _all(spark: SparkSession, sf_dir: str, metric: str, *group_by: str, **parts) -> DataFrame:
+    return _groups(v.star_workspace(spark, sf_dir), metric, *group_by, **parts)
+
+
 def n9_date_grain(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = v.star_workspace(spark, sf_dir).facts.select("sale_date").distinct()
     return days.select(
@@ -36,11 +44,11 @@ def n9_date_grain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def n10_dimension_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _points(spark, sf_dir, "quantity", "store_key", limit=ALL)
+    return _all(spark, sf_dir, "quantity", "store_key")
 
 
 def n11_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _points(spark, sf_dir, "average_order_value", "product", limit=ALL)
+    return _all(spark, sf_dir, "average_order_value", "product")
 
 
 def _monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +63,7 @@ def n12_percent_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def n13_money_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _points(spark, sf_dir, "revenue", "product", "date", limit=ALL).select(
+    return _all(spark, sf_dir, "revenue", "product", "date").select(
         "product", "date", d.money(F.col("value")).alias("display")
     )
 
@@ -104,7 +112,7 @@ def n21_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def n24_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    products = _points(spark, sf_dir, "revenue", "product", limit=ALL)
+    products = _all(spark, sf_dir, "revenue", "product")
     return m.relative_to_leader(products, "value").select("product", F.round("share", 6).alias("share"))
 
 
@@ -114,7 +122,7 @@ def n25_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f1_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _points(spark, sf_dir, "revenue", "date", date_from=FROM, date_to=TO, limit=ALL)
+    return _all(spark, sf_dir, "revenue", "date", date_from=FROM, date_to=TO)
 
 
 def f2_in_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,11 +140,11 @@ def f4_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j1_store_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _points(spark, sf_dir, "revenue", "store", limit=ALL)
+    return _all(spark, sf_dir, "revenue", "store")
 
 
 def j2_product_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _points(spark, sf_dir, "revenue", "product_category", "store_category", limit=ALL)
+    return _all(spark, sf_dir, "revenue", "product_category", "store_category")
 
 
 def j5_product_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,15 +168,15 @@ def a1_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a2_count_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _points(spark, sf_dir, "order_count", "store", limit=ALL)
+    return _all(spark, sf_dir, "order_count", "store")
 
 
 def a3_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _points(spark, sf_dir, "average_order_value", "store_category", "product_category", limit=ALL)
+    return _all(spark, sf_dir, "average_order_value", "store_category", "product_category")
 
 
 def a4_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _points(spark, sf_dir, "revenue", "date", "store_category", grain="month", limit=ALL)
+    return _all(spark, sf_dir, "revenue", "date", "store_category", grain="month")
 
 
 def a5_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,12 +184,9 @@ def a5_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a9_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The exact median of every product's daily revenue, by month."""
-    facts = v.star_workspace(spark, sf_dir).facts
-    daily = facts.groupBy("product_id", "sale_date").agg(F.sum("amount_cents").alias("revenue"))
-    return daily.groupBy(F.date_format("sale_date", "yyyy-MM").alias("month")).agg(
-        F.median("revenue").alias("median_revenue")
-    )
+    """The median of the comparable days before each day, four at most."""
+    daily = ins.daily_series(v.star_workspace(spark, sf_dir))
+    return ins.weekday_baselines(daily).select("day", "baseline")
 
 
 def a10_top_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,7 +239,7 @@ def t2_limited_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t3_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    products = _points(spark, sf_dir, "revenue", "product", limit=ALL)
+    products = _all(spark, sf_dir, "revenue", "product")
     return m.top_groups(products, "product", 10)
 
 
@@ -265,7 +270,7 @@ def m1_metric_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     result = m.metric_result(v.star_workspace(spark, sf_dir), query)
     return result.points.select(
-        "*", F.lit(result.evidence.scope).alias("scope"), F.lit(result.evidence.evidence_id).alias("evidence_id")
+        "*", F.lit(result.evidence.row_count).cast("bigint").alias("row_count"), F.lit(result.evidence.scope).alias("scope"), F.lit(result.evidence.evidence_id).alias("evidence_id")
     )
 
 
@@ -308,11 +313,11 @@ def _texts(findings: DataFrame) -> DataFrame:
 def e2_workspace_of_clean_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Another domain behind the same model: the tables a cleaning run wrote."""
     workspace = cq.run_store(spark, sf_dir).workspace()
-    return m.metric_points(workspace, MetricQuery("average_order_value", ("store_category", "product"), limit=ALL))
+    return _groups(workspace, "average_order_value", "store_category", "product")
 
 
 def e3_nested_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _points(spark, sf_dir, "value_to_unit_revenue", "store", limit=ALL)
+    return _all(spark, sf_dir, "value_to_unit_revenue", "store")
 
 
 def join_without_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:

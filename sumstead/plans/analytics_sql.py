@@ -116,11 +116,13 @@ FROM parts GROUP BY 1, 2"""
 _TOP = "row_number() OVER (ORDER BY value DESC, {key})"
 
 
-def _group(value: str, *groups: str, where: str = "TRUE", limit: int = 500) -> str:
+def _group(value: str, *groups: str, where: str = "TRUE", limit: int | None = None) -> str:
     """A metric query: groups are 'expression AS name'."""
     keys = ", ".join(str(i + 1) for i in range(len(groups)))
     head = ", ".join(groups) + ", " if groups else ""
-    tail = f"GROUP BY {keys} ORDER BY {keys} LIMIT {limit}" if groups else ""
+    tail = f"GROUP BY {keys}" if groups else ""
+    if limit is not None:
+        tail += f" ORDER BY {keys} LIMIT {limit}"
     return f"{STAR} SELECT {head}{value} AS value FROM star WHERE {where} {tail}"
 
 
@@ -145,7 +147,7 @@ ORACLES = {
     "q_n11_ratio": _group(AOV, "product"),
     "q_n12_percent_change": f"{MONTHLY} SELECT month, round({percent('previous_revenue', 'revenue')}, 6) AS change FROM steps",
     "q_n13_money_text": f"""{STAR} SELECT product, {DAY} AS date, {money('sum(amount_cents)')} AS display FROM star
-        GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 500""",
+        GROUP BY 1, 2""",
     "q_n14_signed_money": f"{MONTHLY} SELECT month, {signed('revenue - previous_revenue')} AS display FROM steps",
     "q_n15_direction": f"""{MONTHLY} SELECT month, CASE WHEN revenue >= previous_revenue THEN '增长' ELSE '下降' END AS direction
         FROM steps WHERE previous_revenue IS NOT NULL""",
@@ -167,7 +169,7 @@ ORACLES = {
           || ', "filters": {{' || {_QFILTERS} || '}}, "group_by": ['
           || CASE WHEN len(group_by) > 0 THEN '"' || array_to_string(group_by, '", "') || '"' ELSE '' END
           || '], "limit": ' || lim || ', "metric": "' || metric || '"}}, "workspace": "star"}}'), 1, 16) AS evidence_id FROM qlog""",
-    "q_n24_share": f"""{STAR}, g AS (SELECT product, sum(amount_cents) AS value FROM star GROUP BY 1 ORDER BY 1 LIMIT 500)
+    "q_n24_share": f"""{STAR}, g AS (SELECT product, sum(amount_cents) AS value FROM star GROUP BY 1)
         SELECT product, round(value::DOUBLE / (SELECT max(value) FROM g)::DOUBLE * 100, 6) AS share FROM g""",
     "q_n25_units": f"{STAR} SELECT sale_date AS day, sum(amount_cents)::BIGINT / 100.0::DOUBLE AS revenue FROM star GROUP BY 1",
     "q_f1_date_range": _group(SUM, f"{DAY} AS date", where=RANGE),
@@ -193,8 +195,7 @@ ORACLES = {
     "q_a3_ratio": _group(AOV, "store_category", "product_category"),
     "q_a4_grouped": _group(SUM, f"{MONTH} AS date", "store_category"),
     "q_a5_coverage": f"{STAR} SELECT min(sale_date) AS first_day, max(sale_date) AS last_day FROM star",
-    "q_a9_median": f"""{STAR}, g AS (SELECT product_id, sale_date, sum(amount_cents)::BIGINT AS revenue FROM star GROUP BY 1, 2)
-        SELECT {MONTH} AS month, median(revenue)::DOUBLE AS median_revenue FROM g GROUP BY 1""",
+    "q_a9_median": f"{MONTHLY} SELECT day, baseline FROM based",
     "q_a10_top_store": _top(SUM, "store", 1),
     "q_a12_dashboard": f"{STAR}, scoped AS (SELECT * FROM star),{_DASH}",
     "q_a12_filtered_dashboard": f"{STAR}, scoped AS (SELECT * FROM star WHERE product_category = 'ECONOMY' AND {RANGE}),{_DASH}",
@@ -212,7 +213,7 @@ ORACLES = {
         UNION ALL SELECT query_id, 'product', unnest(product_filter) FROM qlog""",
     "q_m1_metric_query": f"""{STAR}, g AS (SELECT {MONTH} AS date, store, {AOV} AS value FROM star
           WHERE store_category IN ('ASIA', 'EUROPE') AND product_category = 'PROMO' AND {RANGE} GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 300)
-        SELECT *, 'date=1997-03-01..1998-02-28; product_category=PROMO; store_category=ASIA,EUROPE; group_by=date,store' AS scope,
+        SELECT *, (SELECT count(*) FROM g) AS row_count, 'date=1997-03-01..1998-02-28; product_category=PROMO; store_category=ASIA,EUROPE; group_by=date,store' AS scope,
           {evidence("average_order_value", '["date", "store"]', '{"product_category": ["PROMO"], "store_category": ["ASIA", "EUROPE"]}',
                     "'\"1997-03-01\"'", "'\"1998-02-28\"'", "month", 300)} AS evidence_id FROM g""",
     "q_m2_monthly_metrics": f"{MONTHLY} SELECT * FROM monthly",
@@ -230,7 +231,7 @@ ORACLES = {
     "q_i4_insight_feed": f"{FINDINGS} SELECT position, workspace, period, kind, title FROM feed",
     "q_e2_workspace_of_clean_tables": f"""{RENUMBERED}
         SELECT category AS store_category, product_name AS product, {AOV} AS value
-        FROM accepted JOIN stores USING (store_id) JOIN products USING (product_id) GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 500""",
+        FROM accepted JOIN stores USING (store_id) JOIN products USING (product_id) GROUP BY 1, 2""",
     "q_e3_nested_ratio": _group(two(f"{AOV} / {two('sum(amount_cents) / sum(quantity)')}"), "store"),
     "q_join_without_dimension": f"""{STAR} SELECT (SELECT sum(amount_cents)::BIGINT FROM star) AS joined, sum(amount_cents)::BIGINT AS unjoined FROM sale""",
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sumstead.fixed_values import MONTH_WORDS
 from sumstead.model import Dimension, Metric, Relation, SemanticModel, Workspace
+from sumstead.operators.skew import join_one
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,7 +97,12 @@ star AS (
 
 
 RAW_SALES_COLUMNS = ("order_id", "date", "store_id", "product_id", "qty", "amount", "payment")
-CATALOG_KEYS = 200
+KEY_DIGITS = 9
+
+
+def parts(spark: SparkSession, sf_dir: str) -> Column:
+    """Number of parts: keys run from 0, so a remainder by it meets every part."""
+    return table(spark, sf_dir, "part").agg(F.count(F.lit(1))).scalar()
 
 
 def _padded(n: Column, width: int) -> Column:
@@ -114,17 +120,18 @@ def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = F.array_compact(
         F.array(F.lit(0), F.when(k % 150 == 1, 1), F.when(k % 750 == 2, 2))
     )
+    n = parts(spark, sf_dir)
     prices = (
         table(spark, sf_dir, "part")
-        .where(F.col("p_partkey") < CATALOG_KEYS)
         .select(F.col("p_partkey").alias("pk"), F.round(F.col("p_retailprice") * 100).cast("bigint").alias("price"))
     )
     rows = (
         table(spark, sf_dir, "orders")
         .select(k.alias("k"), (F.col("o_custkey") % 25).alias("sk"), F.to_date("o_orderdate").alias("day"),
-                (k % CATALOG_KEYS).alias("pk"), F.explode(copies).alias("copy"))
-        # Keys below CATALOG_KEYS: that many rows at any scale.
-        .join(F.broadcast(prices), "pk")
+                (k % n).alias("pk"), F.explode(copies).alias("copy"))
+    )
+    rows = (
+        join_one(rows, prices, "pk", "inner", ["k", "copy"])
         .withColumn("q", 1 + F.col("k") % 4 + F.when(F.col("copy") == 2, 1).otherwise(0))
         .withColumn("total", F.col("q") * F.col("price"))
     )
@@ -141,7 +148,7 @@ def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 700 == 5, "S99")
         .when(k % 90 == 3, F.concat(F.lit(" "), F.lower(store), F.lit(" ")))
         .otherwise(store).alias("store_id"),
-        F.when(k % 400 == 11, "P999").otherwise(F.concat(F.lit("P"), _padded(pk, 3))).alias("product_id"),
+        F.when(k % 400 == 11, "P999").otherwise(F.concat(F.lit("P"), _padded(pk, KEY_DIGITS))).alias("product_id"),
         F.when(k % 300 == 13, "0").when(k % 300 == 14, "2.0").otherwise(q.cast("string")).alias("qty"),
         F.when(k % 100 == 19, "")
         .when(k % 600 == 29, "10.001")
@@ -155,11 +162,11 @@ def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RAW_SALES_SQL = """
 copies AS (
-  SELECT o_orderkey AS k, o_custkey % 25 AS sk, cast(o_orderdate AS DATE) AS day, o_orderkey % 200 AS pk, 0 AS copy FROM orders
+  SELECT o_orderkey AS k, o_custkey % 25 AS sk, cast(o_orderdate AS DATE) AS day, o_orderkey % (SELECT count(*) FROM part) AS pk, 0 AS copy FROM orders
   UNION ALL
-  SELECT o_orderkey, o_custkey % 25, cast(o_orderdate AS DATE), o_orderkey % 200, 1 FROM orders WHERE o_orderkey % 150 = 1
+  SELECT o_orderkey, o_custkey % 25, cast(o_orderdate AS DATE), o_orderkey % (SELECT count(*) FROM part), 1 FROM orders WHERE o_orderkey % 150 = 1
   UNION ALL
-  SELECT o_orderkey, o_custkey % 25, cast(o_orderdate AS DATE), o_orderkey % 200, 2 FROM orders WHERE o_orderkey % 750 = 2),
+  SELECT o_orderkey, o_custkey % 25, cast(o_orderdate AS DATE), o_orderkey % (SELECT count(*) FROM part), 2 FROM orders WHERE o_orderkey % 750 = 2),
 priced AS (
   SELECT copies.*, 1 + k % 4 + CASE WHEN copy = 2 THEN 1 ELSE 0 END AS q,
          (1 + k % 4 + CASE WHEN copy = 2 THEN 1 ELSE 0 END) * cast(round(p_retailprice * 100) AS BIGINT) AS total
@@ -174,7 +181,7 @@ raw_sales AS (
     CASE WHEN k % 700 = 5 THEN 'S99'
          WHEN k % 90 = 3 THEN ' s' || lpad(cast(sk AS VARCHAR), 2, '0') || ' '
          ELSE 'S' || lpad(cast(sk AS VARCHAR), 2, '0') END AS store_id,
-    CASE WHEN k % 400 = 11 THEN 'P999' ELSE 'P' || lpad(cast(pk AS VARCHAR), 3, '0') END AS product_id,
+    CASE WHEN k % 400 = 11 THEN 'P999' ELSE 'P' || lpad(cast(pk AS VARCHAR), 9, '0') END AS product_id,
     CASE WHEN k % 300 = 13 THEN '0' WHEN k % 300 = 14 THEN '2.0' ELSE cast(q AS VARCHAR) END AS qty,
     CASE WHEN k % 100 = 19 THEN ''
          WHEN k % 600 = 29 THEN '10.001'
@@ -189,9 +196,9 @@ raw_stores AS (
          n_name AS store_name, r_name AS category, r_name || '·' || n_name AS district
   FROM nation JOIN region ON r_regionkey = n_regionkey),
 raw_products AS (
-  SELECT cast(p_partkey + 2 AS BIGINT) AS source_row_number, 'P' || lpad(cast(p_partkey AS VARCHAR), 3, '0') AS product_id,
+  SELECT cast(p_partkey + 2 AS BIGINT) AS source_row_number, 'P' || lpad(cast(p_partkey AS VARCHAR), 9, '0') AS product_id,
          p_name AS product_name, p_type AS product_category, cast(p_retailprice AS VARCHAR) AS unit_price
-  FROM part WHERE p_partkey < 200)"""
+  FROM part)"""
 
 
 def raw_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,10 +218,9 @@ def raw_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "part")
-        .where(F.col("p_partkey") < CATALOG_KEYS)
         .select(
             (F.col("p_partkey") + 2).alias("source_row_number"),
-            F.concat(F.lit("P"), _padded(F.col("p_partkey"), 3)).alias("product_id"),
+            F.concat(F.lit("P"), _padded(F.col("p_partkey"), KEY_DIGITS)).alias("product_id"),
             F.col("p_name").alias("product_name"),
             F.col("p_type").alias("product_category"),
             F.col("p_retailprice").cast("string").alias("unit_price"),
@@ -254,7 +260,7 @@ THIRD_TURN = ("那{month}呢？", "{name}相关数据", "改成{month}看看")
 
 def question_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, turn, text), three turns per order."""
-    names = table(spark, sf_dir, "part").where(F.col("p_partkey") < CATALOG_KEYS).select("p_partkey", "p_name")
+    names = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     k = F.col("o_orderkey")
     months = F.array(*[F.lit(m) for m in _MONTHS])
 
@@ -262,13 +268,10 @@ def question_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         listed = items if isinstance(items, Column) else F.array(*[F.lit(i) for i in items])
         return F.element_at(listed, (index + 1).cast("int"))
 
-    base = (
-        table(spark, sf_dir, "orders")
-        .select(k.alias("k"), (k % CATALOG_KEYS).alias("a"), ((k * 7 + 3) % CATALOG_KEYS).alias("b"))
-        # CATALOG_KEYS rows at any scale.
-        .join(F.broadcast(names.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("name"))), "a")
-        .join(F.broadcast(names.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("other"))), "b")
-    )
+    n = parts(spark, sf_dir)
+    base = table(spark, sf_dir, "orders").select(k.alias("k"), (k % n).alias("a"), ((k * 7 + 3) % n).alias("b"))
+    for key, name in (("a", "name"), ("b", "other")):
+        base = join_one(base, names.select(F.col("p_partkey").alias(key), F.col("p_name").alias(name)), key, "inner", ["k"])
     k = F.col("k")
     turns = F.array(
         F.struct(F.lit(1).cast("bigint").alias("turn"), pick(FIRST_TURN, k % 16).alias("t"),
@@ -298,7 +301,8 @@ def _sql_list(items: tuple[str, ...]) -> str:
 QUESTION_SQL = f"""
 named AS (
   SELECT o_orderkey AS k, a.p_name AS name, b.p_name AS other
-  FROM orders JOIN part a ON a.p_partkey = o_orderkey % 200 JOIN part b ON b.p_partkey = (o_orderkey * 7 + 3) % 200),
+  FROM orders JOIN part a ON a.p_partkey = o_orderkey % (SELECT count(*) FROM part)
+  JOIN part b ON b.p_partkey = (o_orderkey * 7 + 3) % (SELECT count(*) FROM part)),
 turns AS (
   SELECT k, name, other, 1 AS turn, {_sql_list(FIRST_TURN)}[k % 16 + 1] AS t, {_sql_list(_MONTHS)}[(k // 16) % 24 + 1] AS m FROM named
   UNION ALL
