@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sumstead.functions import values
+from sumstead.functions.display import acceptance_rate
 from sumstead.operators.skew import HOT_ROWS, fits_broadcast, hot_hashes, join_one, mark_hot, slot_of
 from sumstead.session import cut_lineage
 
@@ -316,6 +317,23 @@ def quality_breakdown(judged: DataFrame) -> DataFrame:
     )
 
 
+def quality_summary(summary: DataFrame, by_reason: DataFrame) -> DataFrame:
+    """Q8: a run's counts, its acceptance rate and its events per action and reason, a dozen at most."""
+    listed = F.array_join(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("action", "reason_code", "event_count"))),
+            lambda e: F.concat_ws("/", e["action"], e["reason_code"], e["event_count"].cast("string")),
+        ), ";",
+    )
+    rate = acceptance_rate(F.col("accepted_sales_records"), F.col("raw_sales_records"))
+    return summary.withColumns({"acceptance_rate": rate, "reasons": by_reason.agg(listed).scalar()})
+
+
+def conflict_keys(contents: DataFrame) -> DataFrame:
+    """Order ids with several contents."""
+    return contents.groupBy("order_id").agg(F.count(F.lit(1)).alias("contents")).where(F.col("contents") > 1)
+
+
 @dataclass(frozen=True)
 class CleanRun:
     """Everything one cleaning run yields, all lazy."""

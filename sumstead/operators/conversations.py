@@ -21,7 +21,7 @@ from sumstead.operators.questions import (
 )
 from sumstead.session import cut_lineage
 
-CHUNK = 512
+CHUNK = 32
 LEVELS = 4
 
 STATE = "struct<intent:string,product:string,month:int>"
@@ -96,7 +96,7 @@ def _entries(items: DataFrame, level: int, chunk: int) -> DataFrame:
         entered = grouped.withColumn("entry", _no_state())
     else:
         # Only conversations with a second chunk need the level above.
-        long = grouped.where(F.col("chunk") > 0).select("conv").distinct()
+        long = grouped.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("conv")
         maps = cut_lineage(grouped.join(long, "conv", "left_semi").select(
             "conv", F.col("chunk").alias("pos"),
             F.aggregate(
@@ -134,7 +134,7 @@ def contexts(turns: DataFrame, kept: dict[str, Column], conversation: str = "con
     names = [c for c in turns.columns]
     levels = 1 if longest is not None and longest < chunk else LEVELS
     items = turns.select(
-        F.col(conversation).alias("conv"), F.col(order).cast("bigint").alias("pos"),
+        F.struct(conversation).alias("conv"), F.col(order).cast("bigint").alias("pos"),
         turn_map(kept).alias("map"), F.struct(*names).alias("row"),
     )
     if levels > 1:

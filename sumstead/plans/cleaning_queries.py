@@ -235,8 +235,7 @@ def a7_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a8_conflict_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    contents = c.distinct_contents(candidates(spark, sf_dir))
-    return contents.groupBy("order_id").agg(F.count(F.lit(1)).alias("contents")).where(F.col("contents") > 1)
+    return c.conflict_keys(c.distinct_contents(candidates(spark, sf_dir)))
 
 
 def w1_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,26 +291,22 @@ def q6_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q7_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw rows are counted where they come from, not from what was judged."""
+    raw = v.raw_sales(spark, sf_dir).agg(F.count(F.lit(1))).scalar()
     total = F.col("accepted_sales_records") + F.col("deduplicated_records") + F.col("quarantined_records")
     return run(spark, sf_dir).summary.select(
-        "raw_sales_records", total.alias("accounted_records"), (F.col("raw_sales_records") == total).alias("conserved")
+        raw.alias("raw_sales_records"), total.alias("accounted_records"), (raw == total).alias("conserved")
     )
 
 
 def q8_quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = run(spark, sf_dir)
-    reasons = c.quality_breakdown(clean.judged)
-    listed = F.array_join(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("action", "reason_code", "event_count"))),
-            lambda e: F.concat_ws("/", e["action"], e["reason_code"], e["event_count"].cast("string")),
-        ), ";",
-    )
-    # One row per action and reason: a dozen at most.
-    return clean.summary.select(
-        "*", acceptance_rate(F.col("accepted_sales_records"), F.col("raw_sales_records")).alias("acceptance_rate"),
-        reasons.agg(listed).scalar().alias("reasons"),
-    )
+    return c.quality_summary(clean.summary, c.quality_breakdown(clean.judged))
+
+
+def q8_stored_quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of the current stored run, with its store and product counts."""
+    return run_store(spark, sf_dir).quality_summary()
 
 
 def e1_processor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,6 +326,6 @@ QUERIES = {
         n22_entity_keys, n23_acceptance_rate, f5_quarantine_rules, j3_unknown_keys, j4_price_lookup,
         a6_quality_breakdown, a7_run_summary, a8_conflict_keys, w1_duplicates, w2_conflicts, u1_ledger,
         q1_dimensions, q2_normalized_facts, q3_quarantined, q4_refunds, q5_ledger_by_row, q6_accepted,
-        q7_conservation, q8_quality_summary, q9_end_to_end, e1_processor,
+        q7_conservation, q8_quality_summary, q8_stored_quality_summary, q9_end_to_end, e1_processor,
     )
 }

@@ -190,6 +190,11 @@ ORACLES = {
         SELECT summary.*, {_RATE} AS acceptance_rate,
           (SELECT string_agg(action || '/' || reason_code || '/' || n, ';' ORDER BY action, reason_code) FROM reasons) AS reasons
         FROM summary""",
+    "q_q8_stored_quality_summary": f"""{RENUMBERED}, reasons AS (SELECT action, reason_code, count(*) AS n FROM events GROUP BY ALL)
+        SELECT summary.*, (SELECT count(*) FROM stores) AS store_records, (SELECT count(*) FROM products) AS product_records,
+          {_RATE} AS acceptance_rate,
+          (SELECT string_agg(action || '/' || reason_code || '/' || n, ';' ORDER BY action, reason_code) FROM reasons) AS reasons
+        FROM summary""",
     "q_q9_end_to_end": f"""{RENUMBERED}
         SELECT cast(1 AS BIGINT) AS run_id, 'superseded' AS status, * FROM summary UNION ALL SELECT 2, 'completed', * FROM summary""",
     "q_e1_processor": f"{CLEANED} SELECT store_id, cast(sum(amount_cents) AS BIGINT) AS revenue FROM accepted GROUP BY 1",

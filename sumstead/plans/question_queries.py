@@ -11,6 +11,7 @@ from sumstead.operators import linking as li
 from sumstead.operators import metrics as m
 from sumstead.operators import questions as qu
 from sumstead.plans import views as v
+from sumstead.session import cut_lineage
 
 KEYS = ("conv_id", "turn")
 
@@ -23,8 +24,15 @@ def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return an.read_and_link(v.question_log(spark, sf_dir), v.star_workspace(spark, sf_dir))
 
 
+_ANSWERED: dict[tuple[str, str], DataFrame] = {}
+
+
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return an.answer(v.question_log(spark, sf_dir), v.star_workspace(spark, sf_dir))
+    """All questions answered; stored once in an application, as ten queries look at them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ANSWERED:
+        _ANSWERED[key] = cut_lineage(an.answer(v.question_log(spark, sf_dir), v.star_workspace(spark, sf_dir)), "answers")
+    return _ANSWERED[key]
 
 
 def _by_intent(spark: SparkSession, sf_dir: str, intent: str) -> DataFrame:

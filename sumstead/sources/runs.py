@@ -10,13 +10,16 @@ from __future__ import annotations
 import datetime as dt
 import json
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumstead.model import Processor, SemanticModel, Source, Workspace
-from sumstead.operators.cleaning import RAW_CELLS, run_summary
+from sumstead.operators.cleaning import RAW_CELLS, DimensionError, quality_summary, run_summary
+from sumstead.operators.metrics import check_keys
+from sumstead.operators.skew import join_one
 from sumstead.sources.scans import number_rows, raw_records, scan, source_splits, unpack
 
 RUNS = (
@@ -47,8 +50,6 @@ def with_status(runs: DataFrame) -> DataFrame:
     The one latest id per workspace is joined back; a workspace with very many
     runs is not gathered in one place.
     """
-    from sumstead.operators.skew import join_one
-
     joined = join_one(runs, latest_completed(runs), "workspace_slug", "left", ["run_id"])
     superseded = (F.col("status") == "completed") & (F.col("run_id") < F.col("latest_run_id"))
     return joined.withColumn("status", F.when(superseded, "superseded").otherwise(F.col("status"))).drop("latest_run_id")
@@ -73,7 +74,10 @@ class RunStore:
     def _table(self, name: str) -> DataFrame:
         try:
             return self.spark.read.schema(RUNS).parquet(self._path(name))
-        except AnalysisException:
+        except AnalysisException as error:
+            # Only a table that was never written is empty; any other trouble must not look like one.
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], RUNS)
 
     def ingestion_runs(self) -> DataFrame:
@@ -93,8 +97,20 @@ class RunStore:
             raise NoRunError(f"workspace {self.model.slug} has no completed run in {name}")
         return found["latest_run_id"]
 
-    def _next(self, name: str) -> int:
-        return (self._table(name).agg(F.max("run_id")).first()[0] or 0) + 1
+    def _claim(self, name: str) -> int:
+        """An id that no other run has or had: a claim is a folder that can be made once.
+
+        A run that failed keeps its claim, so its files are never mistaken for another's.
+        """
+        run_id = (self._table(name).agg(F.max("run_id")).first()[0] or 0) + 1
+        while True:
+            try:
+                self.spark.range(1).write.mode("errorifexists").parquet(self._path("claims", name, f"run_id={run_id}"))
+                return run_id
+            except AnalysisException as error:
+                if error.getCondition() != "PATH_ALREADY_EXISTS":
+                    raise
+                run_id += 1
 
     def _publish(self, name: str, run_id: int, started: dt.datetime, detail: dict, raw_run_id: int | None = None,
                  replaces: bool = False) -> None:
@@ -107,13 +123,13 @@ class RunStore:
 
         ``replace`` hides all earlier raw rows, else they stay readable.
         """
-        started, run_id = dt.datetime.now(dt.UTC), self._next("ingestion_runs")
+        started, run_id = dt.datetime.now(dt.UTC), self._claim("ingestion_runs")
         counts = {}
         for source in sources or self.model.sources:
             rows = self._path("raw", f"run_id={run_id}", f"source_name={source.name}")
             splits = self._path("splits", f"run_id={run_id}", f"source_name={source.name}")
-            raw_records(scan(self.spark, source)).write.mode("overwrite").parquet(rows)
-            source_splits(self.spark.read.parquet(rows)).coalesce(1).write.mode("overwrite").parquet(splits)
+            raw_records(scan(self.spark, source)).write.parquet(rows)
+            source_splits(self.spark.read.parquet(rows)).coalesce(1).write.parquet(splits)
             counts[source.name] = self.spark.read.parquet(splits).agg(F.sum("records")).first()[0] or 0
         self._publish("ingestion_runs", run_id, started, counts, replaces=replace)
         return run_id
@@ -127,43 +143,64 @@ class RunStore:
 
     def raw_all(self) -> DataFrame:
         """Raw records of every run that no later run replaced."""
-        visible = [r["run_id"] for r in self.ingestion_runs().where("status = 'completed'").select("run_id").collect()]
-        frames = self.spark.read.parquet(self._path("raw")).where(F.col("run_id").isin(visible))
+        visible = self.ingestion_runs().where("status = 'completed'").select("run_id")
+        frames = self.spark.read.parquet(self._path("raw")).join(visible, "run_id", "left_semi")
         return frames.drop("source_file", "source_block", "source_position")
 
     def process(self, processor: Processor) -> int:
         """Cleans the latest raw run; repeating it repeats the result."""
         started, raw_run_id = dt.datetime.now(dt.UTC), self._latest("ingestion_runs")
-        run_id = self._next("processing_runs")
+        run_id = self._claim("processing_runs")
+        malformed = self._malformed_events(raw_run_id)
+        counts = {r["source_name"]: r["n"] for r in malformed.groupBy("source_name").agg(F.count(F.lit(1)).alias("n")).collect()}
+        bad = {name: n for name, n in counts.items() if name != "sales"}
+        if bad:
+            raise DimensionError(f"malformed rows: {bad}")
         raw = {
             name: unpack(self.raw(name, raw_run_id).where(~F.col("malformed")), cells) for name, cells in CELLS.items()
         }
         tables = processor(raw)
-        malformed = self._malformed_events(raw_run_id)
         for name in ("stores", "products", "sales"):
             frame = tables[name]
             if name == "sales":
                 month = F.date_format("sale_date", "yyyy-MM").alias("sale_month")
                 # Ranges keep a month in few files and split a month that is very large.
                 ranged = frame.select("*", month).repartitionByRange("sale_month", "source_row_number")
-                ranged.write.mode("overwrite").partitionBy("sale_month").parquet(
+                ranged.write.partitionBy("sale_month").parquet(
                     self._path("clean", f"run_id={run_id}", name)
                 )
             else:
-                frame.write.mode("overwrite").parquet(self._path("clean", f"run_id={run_id}", name))
-        tables["events"].unionByName(malformed).write.mode("overwrite").parquet(
+                frame.write.parquet(self._path("clean", f"run_id={run_id}", name))
+        tables["events"].unionByName(malformed).write.parquet(
             self._path("events", f"processing_run_id={run_id}")
         )
         summary = run_summary(tables["judged"]).first().asDict()
+        # Malformed rows were never judged; they are raw and quarantined all the same.
+        summary["raw_sales_records"] += counts.get("sales", 0)
+        summary["quarantined_records"] += counts.get("sales", 0)
+        summary |= {f"{name}_records": tables[f"{name}s"].count() for name in ("store", "product")}
         self._publish("processing_runs", run_id, started, summary, raw_run_id=raw_run_id)
         return run_id
 
     def _malformed_events(self, raw_run_id: int) -> DataFrame:
-        return self.raw("sales", raw_run_id).where("malformed").select(
-            F.lit("sales").alias("source_name"), "source_row_number",
-            F.lit(None).cast("string").alias("record_key"), F.lit("quarantined").alias("action"),
-            F.lit("malformed_row").alias("reason_code"), F.to_json("payload").alias("details"),
-        )
+        """An event for every row of any source with more cells than its header."""
+        found = [
+            self.raw(name, raw_run_id).where("malformed").select(
+                F.lit(name).alias("source_name"), "source_row_number",
+                F.lit(None).cast("string").alias("record_key"), F.lit("quarantined").alias("action"),
+                F.lit("malformed_row").alias("reason_code"), F.to_json("payload").alias("details"),
+            )
+            for name in CELLS
+        ]
+        return reduce(DataFrame.unionByName, found)
+
+    def quality_summary(self, run_id: int | None = None) -> DataFrame:
+        """Q8 of the current run, from its stored counts and events: one row."""
+        run_id = run_id or self._latest("processing_runs")
+        counts = self.summary(run_id)
+        run = self.spark.createDataFrame([counts], ", ".join(f"{name} bigint" for name in counts))
+        by_reason = self.events(run_id).groupBy("action", "reason_code").agg(F.count(F.lit(1)).alias("event_count"))
+        return quality_summary(run, by_reason)
 
     def events(self, run_id: int | None = None) -> DataFrame:
         run_id = run_id or self._latest("processing_runs")
@@ -180,7 +217,9 @@ class RunStore:
     def workspace(self) -> Workspace:
         """The model bound to the clean tables of the latest run."""
         run_id = self._latest("processing_runs")
-        return Workspace(
+        bound = Workspace(
             self.model, self.clean("sales", run_id),
             {"store": self.clean("stores", run_id), "product": self.clean("products", run_id)}, run_id,
         )
+        check_keys(bound)
+        return bound

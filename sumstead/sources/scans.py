@@ -42,8 +42,8 @@ def scan(spark: SparkSession, source: Source) -> DataFrame:
         source.path, header=True, multiLine=source.quoted_newlines, quote='"', escape='"', encoding="UTF-8",
         mode="PERMISSIVE", columnNameOfCorruptRecord=RECORD, enforceSchema=False,
     )
-    # Cells of a ragged record: separators outside quotes, plus one.
-    bare = F.regexp_replace(RECORD, '"(?:[^"]|"")*"', "")
+    # Cells of a ragged record: separators outside quotes, plus one.  Nothing backtracks, however long a cell is.
+    bare = F.regexp_replace(RECORD, '"(?:[^"]++|"")*+"', "")
     n_cells = F.char_length(bare) - F.char_length(F.replace(bare, F.lit(","), F.lit(""))) + 1
     cells = [
         F.when(F.col(RECORD).isNull() | (F.lit(i) < n_cells), F.coalesce(F.col(f"`{n}`"), F.lit(""))).alias(n)

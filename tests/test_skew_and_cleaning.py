@@ -110,3 +110,16 @@ def test_ledger_has_one_row_per_decision(spark):
     assert actions["quarantined"] == summary["quarantined_records"]
     assert actions["classified"] == summary["refund_records"]
     assert run.accepted.count() == run.accepted.select("order_id").distinct().count()
+
+
+def test_a_small_side_is_broadcast_and_a_large_one_is_spread(spark):
+    workspace = v.star_workspace(spark, SF)
+    plain, spread = (
+        join_one(workspace.facts, workspace.tables["store"], "store_id", spread_by=["order_id"], bound=bound)
+        for bound in (None, 0)
+    )
+    plans = [f._jdf.queryExecution().executedPlan().toString() for f in (plain, spread)]
+    assert "BroadcastHashJoin" in plans[0] and "approx_top_k" not in plans[0] and "SortMergeJoin" not in plans[0]
+    assert "_slot" in plans[1]
+    columns = sorted(plain.columns)
+    assert sorted(map(tuple, plain.select(columns).collect())) == sorted(map(tuple, spread.select(columns).collect()))

@@ -2,13 +2,17 @@ import csv
 import hashlib
 import io
 import json
+from dataclasses import replace
 
 import pytest
 
-from sumstead.model import Source
-from sumstead.operators.cleaning import restaurant_processor
+from sumstead.model import GovernanceError, Source
+from sumstead.operators.cleaning import DimensionError, restaurant_processor
+from sumstead.operators.metrics import check_keys
 from sumstead.plans import cleaning_queries as cq
+from sumstead.plans.views import STAR_MODEL, star_workspace
 from sumstead.sources import scans
+from sumstead.sources.runs import RunStore
 
 TEXT = (
     '﻿order_id,date,note\r\n1,2026-01-01,"a, b"\r\n\r\n2,,"line\nbreak ""q"""\r\n3\r\n4,x\r\n'
@@ -53,3 +57,78 @@ def test_runs_replace_supersede_and_repeat(spark):
         store.process(broken)
     assert {r.run_id: r.status for r in store.processing_runs().collect()} == {1: "superseded", 2: "completed"}
     assert restaurant_processor is not broken
+
+
+FILES = {
+    "sales": ("order_id,date,store_id,product_id,qty,amount,payment", ["A1,2031-03-04,K1,G1,2,6.00,card", "A2,2031-03-05,K1,G1,1,3.00,card"]),
+    "stores": ("store_id,store_name,category,district", ["K1,North,Grill,Hill"]),
+    "products": ("product_id,product_name,product_category,unit_price", ["G1,Tea,Drinks,3.0"]),
+}
+
+
+def _store(spark, tmp_path, longer=None):
+    sources = []
+    for name, (head, rows) in FILES.items():
+        extra = [rows[0].replace("A1", "A9").replace("K1", "K9").replace("G1", "G9") + ",one cell too many"] if name == longer else []
+        path = tmp_path / f"{name}.csv"
+        path.write_text("\n".join([head, *rows, *extra]) + "\n")
+        sources.append(Source(name, str(path), role="fact" if name == "sales" else "dimension"))
+    store = RunStore(spark, str(tmp_path / "runs"), replace(STAR_MODEL, slug="tea", sources=tuple(sources)))
+    store.ingest()
+    return store
+
+
+def test_malformed_sales_are_logged_and_counted(spark, tmp_path):
+    store = _store(spark, tmp_path, "sales")
+    store.process(restaurant_processor)
+    assert [r.reason_code for r in store.events().collect()] == ["malformed_row"]
+    summary = store.summary()
+    assert (summary["raw_sales_records"], summary["accepted_sales_records"], summary["quarantined_records"]) == (3, 2, 1)
+    assert (summary["store_records"], summary["product_records"]) == (1, 1)
+    row = store.quality_summary().first()
+    assert row.reasons == "quarantined/malformed_row/1" and row.raw_sales_records == 3
+
+
+@pytest.mark.parametrize("table", ["stores", "products"])
+def test_a_malformed_dimension_row_fails_the_run(spark, tmp_path, table):
+    store = _store(spark, tmp_path, table)
+    with pytest.raises(DimensionError):
+        store.process(restaurant_processor)
+    assert store.processing_runs().count() == 0
+
+
+def test_very_long_quoted_cells_in_ragged_rows(spark, tmp_path):
+    cells = ("x" * 1_000_000, '""' * 100_000, "a, b")
+    for cell in cells:
+        (tmp_path / "long.csv").write_text(f'a,b\n1,"{cell}",3\n')
+        row = scans.scan(spark, Source("sales", str(tmp_path / "long.csv"))).first()
+        assert row.malformed and row.b == cell.replace('""', '"')
+
+
+def test_a_broken_run_table_is_no_empty_one(spark, tmp_path):
+    store = _store(spark, tmp_path)
+    before = {p: p.read_bytes() for p in (tmp_path / "runs").rglob("*.parquet") if "run_id=1" in str(p)}
+    for path in (tmp_path / "runs" / "tea" / "ingestion_runs").glob("*.parquet"):
+        path.write_bytes(b"nothing")
+    with pytest.raises(Exception):
+        store.ingest()
+    assert before and all(p.read_bytes() == data for p, data in before.items())
+
+
+def test_a_failed_run_keeps_its_id(spark, tmp_path):
+    store = _store(spark, tmp_path)
+
+    def broken(raw):
+        raise ValueError("stop")
+
+    with pytest.raises(ValueError):
+        store.process(broken)
+    assert store.process(restaurant_processor) == 2
+
+
+def test_repeated_dimension_keys_are_refused(spark):
+    workspace = star_workspace(spark, "/root/testdata/sf0.001")
+    check_keys(workspace)
+    twice = workspace.tables["store"].union(workspace.tables["store"])
+    with pytest.raises(GovernanceError):
+        check_keys(replace(workspace, tables={**workspace.tables, "store": twice}))
