@@ -72,7 +72,6 @@ ANSWER_TREND = (
     "客单价最近{direction}：从{previous}的{previous_display}变为{latest}的{latest_display}，变动{delta}%。"
 )
 ANSWER_NO_STORES = "当前没有可比较的可信门店数据。"
-ANSWER_NO_STORE_AOV = "当前门店数据缺少可核验的客单价，暂不生成门店比较结论。"
 ANSWER_STORES = (
     "{period}共有{stores}家门店。净营业额最高的是{name}，为{revenue}，客单价为{aov}；"
     "完整差异已定位到门店对比视图。"

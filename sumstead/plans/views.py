@@ -231,31 +231,31 @@ def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 # one conversation of three turns per order.
 _MONTHS = tuple(MONTH_WORDS)
 FIRST_TURN = (
-    "{name}的营业额是多少？",
-    "{name} {month}卖了多少钱？",
-    "帮我看看今年{month}，{name} 卖了多少？",
-    "{name}相关数据",
-    "哪个品类的门店营业额最高？",
-    "{month}哪个品类的门店营业额最高？",
-    "客单价最近是涨了还是跌了？",
-    "五家门店经营表现有什么差异？",
-    "{month}门店排名",
-    "营业额前10的商品是什么？",
-    "{month}商品营业额前10名",
-    "下个月天气会影响多少营业额？",
-    "{word}的营业额是",
-    "{name}和{other}{month}营业额分别是多少？",
-    "披萨在{month}份的营业额是多少？",
-    "你好，请介绍一下你自己吧，谢谢你",
+    "请问{name}的销售额是多少",
+    "查一下{month}{name}卖了多少",
+    "看一下本年{month}{name}的营业额",
+    "{name}的销售情况",
+    "门店里面销售额第一的是什么品类？",
+    "{month}收入最多的门店品类",
+    "说说客单价的趋势",
+    "请把各门店比较一遍",
+    "{month}哪家门店更好",
+    "产品销售额排行榜单",
+    "{month}卖得最好的产品有哪些",
+    "明年的成本对营业额有何影响",
+    "{word}的销售额是",
+    "{month}{name}还有{other}多少钱",
+    "比萨饼在{month}卖了多少钱",
+    "您好，今天想跟您随便聊聊别的事情",
 )
 SECOND_TURN = (
-    "那{month}呢？",
-    "改成{month}",
-    "那{other} {month}呢？",
-    "{month}商品营业额前10名",
-    "{other}和{name}{month}呢？",
+    "{month}呢",
+    "换个月，改成{month}吧",
+    "那么{other}在{month}呢",
+    "{month}卖得最好的产品有哪些",
+    "{name}还有{other}{month}呢",
 )
-THIRD_TURN = ("那{month}呢？", "{name}相关数据", "改成{month}看看")
+THIRD_TURN = ("{month}又怎样呢", "{name}的销售情况", "再改成{month}")
 
 
 def question_log(spark: SparkSession, sf_dir: str) -> DataFrame:
