@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sumstead.functions.display import acceptance_rate, grain_text, guarded_ratio
 from sumstead.model import MetricQuery, Workspace
 from sumstead.operators.metrics import _filtered_facts, aggregate, metric_table, relative_to_leader
-from sumstead.operators.skew import fits_broadcast, join_one
+from sumstead.operators.skew import join_one
 
 def dashboard(workspace: Workspace, query: MetricQuery | None = None, bound: int | None = None) -> DataFrame:
     """One row per group of each part: revenue everywhere, orders where shown.
@@ -88,9 +88,8 @@ def _scoped(workspace: Workspace, query: MetricQuery, bound: int | None) -> Data
             if model.dimension(key).table == name:
                 frame = frame.where(F.col(model.dimension(key).column).isin(*values))
         kept = frame.select(F.col(model.relation(name).table_key).alias(model.relation(name).fact_key))
-        if fits_broadcast(kept, bound):
-            kept = F.broadcast(kept)
-        facts = facts.join(kept, model.relation(name).fact_key, "left_semi")
+        # Keys of a dimension are unique, so this keeps facts as a semi join does, with hot keys spread.
+        facts = join_one(facts, kept, model.relation(name).fact_key, "inner", bound=bound)
     return facts
 
 

@@ -28,7 +28,7 @@ def test_csv_rows_numbers_and_fingerprints_match_python(spark, tmp_path):
         for n, row in enumerate(csv.DictReader(io.StringIO(TEXT.lstrip("﻿"), newline="")), start=2)
     ]
     stored = str(tmp_path / "raw")
-    scans.raw_records(scans.scan(spark, Source("sales", str(path)))).write.parquet(stored)
+    scans.raw_records(scans.scan(spark, Source("sales", str(path), quoted_newlines=True))).write.parquet(stored)
     rows = spark.read.parquet(stored)
     numbered = scans.number_rows(rows, scans.source_splits(rows)).orderBy("source_row_number").collect()
     assert [(r.source_row_number, dict(r.payload), r.fingerprint) for r in numbered] == expected
