@@ -48,7 +48,7 @@ SPAN = STRING - GRAM + 1
 BUCKET_BYTES = 8 << 20
 BROADCAST_BYTES = 24 << 20
 _PIECE = 1 << 18
-_FLUSH = 2_000_000
+_FLUSH = 1_000_000
 _KNOWN = 0x80
 _TAG_BITS = 24
 _U = np.uint64
