@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumstead.model import MetricQuery
+from sumstead.model import MetricQuery, Workspace
 from sumstead.operators import answers as an
 from sumstead.operators import linking as li
 from sumstead.operators import metrics as m
@@ -142,26 +142,49 @@ def f7_out_of_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.where(qu.is_out_of_scope(qu.plain_question(F.col("text")))).select(*KEYS, "text")
 
 
+_KINDS = {qu.PRODUCT_REVENUE: "product", qu.CATEGORY_LEADER: "category", qu.AOV_TREND: "trend"}
+
+
+def _expected(workspace: Workspace, kind: str, metric: str, dimension: str | None, best: bool = False) -> DataFrame:
+    """What metric queries say for each month and, if there is a dimension, for all time: kind, name, date, expected."""
+    found = []
+    for dated in (True, False) if dimension else (True,):
+        keys = tuple(k for k in (dimension, "date" if dated else None) if k)
+        values = m.metric_table(workspace, (metric,), MetricQuery(metric, keys, grain="month"))
+        name = F.col(dimension) if dimension and not best else F.lit("")
+        rows = values.select(
+            F.lit(kind).alias("kind"), name.alias("name"), (F.col("date") if dated else F.lit("")).alias("date"),
+            F.col(metric).cast("double").alias("expected"),
+        )
+        found.append(rows.groupBy("kind", "name", "date").agg(F.max("expected").alias("expected")) if best else rows)
+    return found[0].unionByName(found[-1]) if dimension else found[0]
+
+
 def j9_reconciled_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cited product values against an independent metric query of months."""
+    """Every cited product, leading category and trend value against independent metric queries."""
     workspace = v.star_workspace(spark, sf_dir)
-    answered = _answers(spark, sf_dir).where((F.col("intent") == qu.PRODUCT_REVENUE) & (F.col("status") == "answered"))
+    kind = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])[F.col("intent")]
+    month = F.coalesce(F.date_format("date_from", "yyyy-MM"), F.lit(""))
     cited = (
-        answered.where("month is not null")
-        .groupBy("product", F.date_format("date_from", "yyyy-MM").alias("date"))
-        .agg(F.count(F.lit(1)).alias("answers"), F.min(F.col("citations")[0]["value"]).alias("low"),
-             F.max(F.col("citations")[0]["value"]).alias("high"))
+        _answers(spark, sf_dir).where(F.col("intent").isin(*_KINDS) & (F.col("status") == "answered"))
+        .select(kind.alias("kind"), "product", month.alias("month"), F.explode("citations").alias("c"))
+        .select(
+            "kind", F.when(F.col("kind") == "product", F.col("product")).otherwise("").alias("name"),
+            F.when(F.col("kind") == "trend", F.col("c.dimensions")["date"]).otherwise(F.col("month")).alias("date"), "c.value",
+        )
+        .groupBy("kind", "name", "date")
+        .agg(F.count(F.lit(1)).alias("answers"), F.min("value").alias("low"), F.max("value").alias("high"))
+    )
+    expected = (
+        _expected(workspace, "product", "revenue", "product")
+        .unionByName(_expected(workspace, "category", "revenue", "store_category", best=True))
+        .unionByName(_expected(workspace, "trend", "average_order_value", None))
     )
-    query = MetricQuery("revenue", ("product", "date"), grain="month")
-    query.check(workspace.model)
-    metric = m.aggregate(workspace, query, workspace.model.primitives("revenue"))
-    joined = cited.join(metric, ["product", "date"], "full_outer")
-    expected = F.coalesce("revenue", F.lit(0)).cast("double")
-    wrong = ~(F.col("low").eqNullSafe(expected) & F.col("high").eqNullSafe(expected))
-    return joined.agg(
-        F.sum("answers").cast("bigint").alias("answers"),
-        F.count_if(F.col("answers").isNotNull()).alias("cells"),
-        F.count_if(F.col("answers").isNotNull() & wrong).alias("mismatches"),
+    value = F.coalesce("expected", F.lit(0.0))
+    wrong = ~(F.col("low").eqNullSafe(value) & F.col("high").eqNullSafe(value))
+    return cited.join(expected, ["kind", "name", "date"], "left").groupBy("kind").agg(
+        F.sum("answers").cast("bigint").alias("answers"), F.count(F.lit(1)).alias("cells"),
+        F.count_if(wrong).alias("mismatches"),
     )
 
 

@@ -229,6 +229,11 @@ ORACLES = {
     "q_f6_coverage_gate": f"{ANSWERED} SELECT conv_id, turn, reason, answer FROM answers WHERE reason IN ('outside', 'product_outside')",
     "q_f7_out_of_scope": f"""WITH {QUESTION_SQL}, texts AS (SELECT conv_id, turn, text FROM questions UNION ALL SELECT conv_id, turn, text FROM conversations)
         SELECT * FROM texts WHERE {_any(fx.OUT_OF_SCOPE_WORDS, "lower(regexp_replace(text, '\\s+', '', 'g'))")}""",
-    "q_j9_reconciled_answers": f"""{ANSWERED} SELECT count(*) AS answers, count(DISTINCT (product, month)) AS cells, cast(0 AS BIGINT) AS mismatches
-        FROM answers WHERE intent = 'product_revenue' AND reason IS NULL AND month IS NOT NULL""",
+    "q_j9_reconciled_answers": f"""{ANSWERED}, given AS (SELECT * FROM answers WHERE reason IS NULL)
+        SELECT 'product' AS kind, count(*) AS answers, count(DISTINCT (product, coalesce(month, 0))) AS cells, cast(0 AS BIGINT) AS mismatches
+        FROM given WHERE intent = 'product_revenue' HAVING count(*) > 0
+        UNION ALL
+        SELECT 'category', count(*), count(DISTINCT coalesce(month, 0)), 0 FROM given WHERE intent = 'category_leader' HAVING count(*) > 0
+        UNION ALL
+        SELECT 'trend', 2 * count(*), 2, 0 FROM given WHERE intent = 'aov_trend' HAVING count(*) > 0""",
 }
