@@ -14,8 +14,10 @@ shuffles, and the rest is induced from it:
    equal stretches repeat the one of the least document, whole.  Only where an
    anchor has several stretches, at the ends of what is repeated, is it open
    which of a run's strings repeat.
-3. The strings of these runs alone are hashed one by one; each that occurs in a
-   smaller document is found by a minimum per hash.
+3. A string is at least half on one side of its anchor, so only runs that share
+   their anchor and SIDE bytes on one side of it with another document go on.
+   Their strings alone are hashed one by one; each that occurs in a smaller
+   document is found by the least document of its hash.
 
 Whole copies of a text are told by its hash beforehand.  A record that repeats
 one of the same task is known to repeat and is dealt by its document, so one
@@ -32,7 +34,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +47,15 @@ from sumstead.session import cut_lineage
 STRING = 50
 GRAM = 22
 SPAN = STRING - GRAM + 1
+SIDE = (STRING - GRAM) // 2
 BUCKET_BYTES = 8 << 20
 BROADCAST_BYTES = 24 << 20
 _PIECE = 1 << 18
 _FLUSH = 1_000_000
 _KNOWN = 0x80
 _TAG_BITS = 24
+#: Places in bytes that are looked at together; there are less than this.
+_PLACES = np.uint64((1 << 21) - 1)
 _U = np.uint64
 #: Odd multipliers of the hashes.
 _BASE, _MIX, _MIX2, _MIX3 = (_U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
@@ -91,22 +96,22 @@ class Rolling:
 
 
 def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of strings with one anchor: first string, one past the last, hash of the anchor, of the stretch.
+    """Runs of strings with one anchor: first string, one past the last, anchor, hashes of it and of the stretch.
 
     ``ends`` are where texts end in ``data``; no string crosses an end.
     """
     if len(data) < STRING:
-        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     rolling = Rolling(data)
     grams = rolling.fixed(GRAM)
     place = np.arange(len(grams), dtype=np.uint64)
-    least = (grams & _U(0xFFFFFFFFFFFFFF00)) | (_U(255) - (place & _U(255)))
+    # Among equal hashes the last place: the choice depends on the string alone.
+    least = (grams & ~_PLACES) | (_PLACES - place)
     size = 1
     while 2 * size <= SPAN:
         least, size = np.minimum(least[:-size], least[size:]), 2 * size
     least = np.minimum(least[: len(least) - (SPAN - size)], least[SPAN - size :])
-    first = np.arange(len(least), dtype=np.int64)
-    anchor = first + ((255 - (least & _U(255)).astype(np.int64) - first) & 255)
+    anchor = (_PLACES - (least & _PLACES)).astype(np.int64)
     for end in ends.tolist():
         anchor[max(0, end - STRING + 1) : end] = -1
     change = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
@@ -115,7 +120,7 @@ def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     starts, stops = starts[own], stops[own]
     anchors = anchor[starts]
     shape = ((stops - starts) * 64 + (anchors - starts)).astype(np.uint64) * _MIX3
-    return starts, stops, grams[anchors], mix(rolling.stretches(starts, stops + STRING - 1) ^ shape)
+    return starts, stops, anchors, grams[anchors], mix(rolling.stretches(starts, stops + STRING - 1) ^ shape)
 
 
 def pieces(texts: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
@@ -197,7 +202,7 @@ def _records(docs: DataFrame, buckets: int) -> DataFrame:
             for batch in by_bytes(whole, "text"):
                 ids, tags = batch.column("ord").to_numpy(), batch.column("tag").to_numpy().astype(np.int64)
                 for data, ends, number, place in joined(batch.column("text").to_pylist()):
-                    starts, stops, anchor, stretch = runs(data, ends)
+                    starts, stops, _, anchor, stretch = runs(data, ends)
                     piece = np.searchsorted(ends, starts, "right")
                     begins = np.concatenate([[0], ends[:-1]])
                     text = number[piece]
@@ -293,34 +298,75 @@ def _with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, ["ord", "tag"], how)
 
 
-def _strings(docs: DataFrame, lists: DataFrame) -> DataFrame:
-    """Hash of each string that starts in a document's probed intervals."""
+def _least_documents(rows: DataFrame, again: bool) -> DataFrame:
+    """Rows whose hash occurs in several documents; with ``again`` only those after the least one.
+
+    A partition is sorted by hash; it holds no more of one hash than runs that differ around it.
+    """
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches, schema=pa.schema([
+            ("h", pa.int64()), ("ord", pa.int64()), ("tag", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())]))
+        if not len(table):
+            return
+        h, doc = table["h"].to_numpy(), table["ord"].to_numpy()
+        order = np.argsort(h)
+        groups = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
+        sizes = np.diff(np.append(groups, len(h)))
+        least = np.repeat(np.minimum.reduceat(doc[order], groups), sizes)
+        most = np.repeat(np.maximum.reduceat(doc[order], groups), sizes)
+        own = order[(doc[order] > least) if again else (least < most)]
+        yield from table.select(["ord", "tag", "start", "stop"]).take(pa.array(own)).to_batches(max_chunksize=1 << 20)
+
+    return rows.repartition("h").mapInArrow(find, "ord bigint, tag int, start int, stop int")
+
+
+HASHED = "h bigint, ord bigint, tag int, start int, stop int"
+
+
+def _hashed(docs: DataFrame, lists: DataFrame, hashes: Callable) -> DataFrame:
+    """Hashes that ``hashes`` makes of each piece of a document and its listed intervals."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_bytes(whole, "text"):
                 ids, tags = batch.column("ord").to_pylist(), batch.column("tag").to_pylist()
                 starts, stops = batch.column("starts").to_pylist(), batch.column("stops").to_pylist()
+                found = []
                 for n, at, data in pieces(batch.column("text").to_pylist()):
-                    spans = [np.arange(max(a - at, 0), min(b - at, _PIECE)) for a, b in zip(starts[n], stops[n], strict=True)]
-                    own = np.concatenate(spans) if spans else np.zeros(0, dtype=np.int64)
-                    if not len(own):
-                        continue
-                    rolling = Rolling(np.frombuffer(data, dtype=np.uint8))
-                    hashes = mix(rolling.stretches(own, own + STRING)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(hashes), pa.array(np.full(len(own), ids[n], dtype=np.int64)),
-                         pa.array(np.full(len(own), tags[n], dtype=np.int32)), pa.array((own + at).astype(np.int32))],
-                        ["h", "ord", "tag", "start"])
-
-    return _with_lists(docs, lists, "inner").select("ord", "tag", "text", "starts", "stops").mapInArrow(
-        emit, "h bigint, ord bigint, tag int, start int")
+                    own = np.zeros(max(0, len(data) - STRING + 1), dtype=bool)
+                    for a, b in zip(starts[n], stops[n], strict=True):
+                        own[max(a - at, 0) : max(b - at, 0)] = True
+                    if own.any():
+                        h, first, last = hashes(np.frombuffer(data, dtype=np.uint8), own)
+                        same = np.ones(len(h), dtype=np.int64)
+                        found.append((h.view(np.int64), same * ids[n], same * tags[n], first + at, last + at))
+                if found:
+                    columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(columns, kinds, strict=True)],
+                                                     ["h", "ord", "tag", "start", "stop"])
+
+    joined_lists = _with_lists(docs, lists, "inner").select("ord", "tag", "text", "starts", "stops")
+    return joined_lists.mapInArrow(emit, HASHED)
+
+
+def side_hashes(data: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the anchor with what lies on either side of it, for runs that start where ``own`` is set."""
+    starts, stops, anchors, _, _ = runs(data, np.array([len(data)]))
+    chosen = own[starts]
+    starts, stops, anchors = starts[chosen], stops[chosen], anchors[chosen]
+    # Only sides that a string of the run reaches.
+    before, behind = starts <= anchors - SIDE, stops > anchors - SIDE
+    rolling = Rolling(data)
+    left = mix(rolling.stretches(anchors[before] - SIDE, anchors[before] + GRAM) ^ _MIX2)
+    right = mix(rolling.stretches(anchors[behind], anchors[behind] + GRAM + SIDE) ^ _MIX3)
+    return (np.concatenate([left, right]), np.concatenate([starts[before], starts[behind]]),
+            np.concatenate([stops[before], stops[behind]]))
 
 
-def _repeated_strings(strings: DataFrame) -> DataFrame:
-    stored = cut_lineage(strings, "strings")
-    least = stored.groupBy("h").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).where("least < most")
-    again = stored.join(least.drop("most"), "h").where("ord > least")
-    return again.select("ord", "tag", "start", (F.col("start") + STRING).alias("stop"))
+def string_hashes(data: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each string that starts where ``own`` is set."""
+    first = np.flatnonzero(own)
+    return mix(Rolling(data).stretches(first, first + STRING)), first, first + STRING
 
 
 def remove(text: bytes, starts: list[int], stops: list[int]) -> tuple[int, int, str]:
@@ -353,7 +399,9 @@ def removed_intervals(docs: DataFrame, id_column: str = "doc_id", text_column: s
     firsts = marked.where(~copy).select("ord", "tag", "text")
     intervals = cut_lineage(_sorted_buckets(_records(firsts, buckets), buckets), "intervals")
     probes = cut_lineage(_by_document(intervals.where("probe").drop("probe")), "probes")
-    found = intervals.where("NOT probe").drop("probe").unionByName(_repeated_strings(_strings(firsts, probes)))
+    near = cut_lineage(_by_document(_least_documents(_hashed(firsts, probes, side_hashes), again=False)), "near")
+    repeated = _least_documents(_hashed(firsts, near, string_hashes), again=True)
+    found = intervals.where("NOT probe").drop("probe").unionByName(repeated)
     whole = marked.where(copy).select("ord", "tag", F.array(F.lit(0)).alias("starts"),
                                       F.array(F.octet_length("text")).alias("stops")).distinct()
     lists = cut_lineage(_by_document(found).unionByName(whole), "removed")

@@ -87,7 +87,7 @@ def test_long_texts_are_cut_into_pieces(spark):
 @given(st.binary(min_size=50, max_size=400), st.integers(0, 300))
 def test_each_string_is_in_one_run_and_equal_ones_meet(data, shift):
     data = np.frombuffer(data + data, dtype=np.uint8)
-    starts, stops, anchors, _ = s.runs(data, np.array([len(data)]))
+    starts, stops, _, anchors, _ = s.runs(data, np.array([len(data)]))
     assert starts[0] == 0 and stops[-1] == len(data) - 49 and (starts[1:] == stops[:-1]).all()
     anchor = np.repeat(anchors, stops - starts)
     half = len(data) // 2
