@@ -293,11 +293,6 @@ def _by_document(intervals: DataFrame) -> DataFrame:
     return grouped.mapInArrow(merge, "ord bigint, tag int, starts array<int>, stops array<int>")
 
 
-def _with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    size = lists.agg(F.sum(F.size("starts") * 8 + 64)).first()[0] or 0
-    return docs.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, ["ord", "tag"], how)
-
-
 def _least_documents(rows: DataFrame, again: bool) -> DataFrame:
     """Rows whose hash occurs in several documents; with ``again`` only those after the least one.
 
@@ -345,8 +340,9 @@ def _hashed(docs: DataFrame, lists: DataFrame, hashes: Callable) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(columns, kinds, strict=True)],
                                                      ["h", "ord", "tag", "start", "stop"])
 
-    joined_lists = _with_lists(docs, lists, "inner").select("ord", "tag", "text", "starts", "stops")
-    return joined_lists.mapInArrow(emit, HASHED)
+    # These lists grow with the table: no broadcast is asked for.
+    listed = docs.join(lists, ["ord", "tag"]).select("ord", "tag", "text", "starts", "stops")
+    return listed.mapInArrow(emit, HASHED)
 
 
 def side_hashes(data: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -405,7 +401,9 @@ def removed_intervals(docs: DataFrame, id_column: str = "doc_id", text_column: s
     whole = marked.where(copy).select("ord", "tag", F.array(F.lit(0)).alias("starts"),
                                       F.array(F.octet_length("text")).alias("stops")).distinct()
     lists = cut_lineage(_by_document(found).unionByName(whole), "removed")
-    return _with_lists(rows.drop("h", "g"), lists, "left").select("id", "text", "starts", "stops")
+    size = lists.agg(F.sum(F.size("starts") * 8 + 64)).first()[0] or 0
+    lists = F.broadcast(lists) if size <= BROADCAST_BYTES else lists
+    return rows.drop("h", "g").join(lists, ["ord", "tag"], "left").select("id", "text", "starts", "stops")
 
 
 def dedup_strings(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
