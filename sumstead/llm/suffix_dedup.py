@@ -51,7 +51,7 @@ SIDE = (STRING - GRAM) // 2
 BUCKET_BYTES = 8 << 20
 BROADCAST_BYTES = 24 << 20
 _PIECE = 1 << 18
-_FLUSH = 1_000_000
+_FLUSH = 500_000
 _KNOWN = 0x80
 _TAG_BITS = 24
 #: Places in bytes that are looked at together; there are less than this.
@@ -322,7 +322,7 @@ def _hashed(docs: DataFrame, lists: DataFrame, hashes: Callable) -> DataFrame:
     """Hashes that ``hashes`` makes of each piece of a document and its listed intervals."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in by_bytes(whole, "text"):
+            for batch in by_bytes(whole, "text", _PIECE):
                 ids, tags = batch.column("ord").to_pylist(), batch.column("tag").to_pylist()
                 starts, stops = batch.column("starts").to_pylist(), batch.column("stops").to_pylist()
                 found = []
