@@ -23,7 +23,8 @@ Whole copies of a text are told by its hash beforehand.  A record that repeats
 one of the same task is known to repeat and is dealt by its document, so one
 passage in very many documents sends one record a task to its anchor.
 What is broadcast has a counted size under BROADCAST_BYTES, else joins are
-shuffled.  Hashes have 88 bits for records of one anchor and 64 for strings.
+shuffled.  Hashes have 88 bits for records of one anchor and 64 for strings; rows that
+share an id are told apart by all 64 bits of their text's hash.
 
 A null text is an empty text.  A null id is smaller than any other.  Rows with
 one id are one document: they repeat nothing of each other.  Extra columns are
@@ -53,7 +54,6 @@ BROADCAST_BYTES = 24 << 20
 _PIECE = 1 << 18
 _FLUSH = 500_000
 _KNOWN = 0x80
-_TAG_BITS = 24
 #: Places in bytes that are looked at together; there are less than this.
 _PLACES = np.uint64((1 << 21) - 1)
 _U = np.uint64
@@ -61,7 +61,7 @@ _U = np.uint64
 _BASE, _MIX, _MIX2, _MIX3 = (_U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 _TABLE = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 
-INTERVALS = "ord bigint, tag int, probe boolean, start int, stop int"
+INTERVALS = "ord bigint, tag bigint, probe boolean, start int, stop int"
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -155,21 +155,34 @@ def _numbers(data: bytes, n: int, at: int, size: int) -> np.ndarray:
     return planes.reshape(-1).view("<i8")
 
 
-#: Bytes kept of anchor, stretch, document, tag, first string, number of strings.
-_SIZES = (5, 6, 8, _TAG_BITS // 8, 4, 1)
+#: Bytes kept of anchor, stretch, place of the text in a list, first string, number of strings.
+_SIZES = (5, 6, 4, 4, 1)
+
+
+def _pack(anchor: np.ndarray, stretch: np.ndarray, doc: np.ndarray, tag: np.ndarray, text: np.ndarray, start: np.ndarray,
+          count: np.ndarray) -> bytes:
+    """Records, and ahead of them the documents and tags of their texts once each; equal ``text``, equal document and tag."""
+    _, first, place = np.unique(text, return_index=True, return_inverse=True)
+    columns = zip((anchor.view(np.int64), stretch.view(np.int64), place, start, count), _SIZES, strict=True)
+    return len(first).to_bytes(4, "little") + _planes(doc[first], 8) + _planes(tag[first], 8) + b"".join(_planes(c, s) for c, s in columns)
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
-    n, at, found = len(data) // sum(_SIZES), 0, []
+    """Anchor, stretch, document, tag, first string and number of strings of each record."""
+    texts, at, found = int.from_bytes(data[:4], "little"), 4, []
+    doc, tag = _numbers(data, texts, at, 8), _numbers(data, texts, at + 8 * texts, 8)
+    at += 16 * texts
+    n = (len(data) - at) // sum(_SIZES)
     for size in _SIZES:
         found.append(_numbers(data, n, at, size))
         at += n * size
-    return found
+    anchor, stretch, place, start, count = found
+    return [anchor, stretch, doc[place], tag[place], start, count]
 
 
 def _dealt(records: list[tuple[np.ndarray, ...]], buckets: int) -> Iterator[tuple[int, bytes]]:
     """Records by bucket; one that repeats a smaller document's of the same task goes by its document."""
-    anchor, stretch, doc, tag, start, count = (np.concatenate(c) for c in zip(*records, strict=True))
+    anchor, stretch, doc, tag, text, start, count = (np.concatenate(c) for c in zip(*records, strict=True))
     both = anchor ^ (stretch * _MIX3)
     order = np.argsort(both)
     groups = np.flatnonzero(np.concatenate([[True], np.diff(both[order]) != 0]))
@@ -183,13 +196,13 @@ def _dealt(records: list[tuple[np.ndarray, ...]], buckets: int) -> Iterator[tupl
     bounds = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0, [True]]))
     for a, b in itertools.pairwise(bounds.tolist()):
         own = order[a:b]
-        columns = (anchor[own].view(np.int64), stretch[own].view(np.int64), doc[own], tag[own], start[own], count[own])
-        yield int(bucket[own[0]]), b"".join(_planes(c, s) for c, s in zip(columns, _SIZES, strict=True))
+        yield int(bucket[own[0]]), _pack(*(c[own] for c in (anchor, stretch, doc, tag, text, start, count)))
 
 
 def _records(docs: DataFrame, buckets: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records: list[tuple[np.ndarray, ...]] = []
+        seen = 0  # texts before this batch
 
         def flush() -> pa.RecordBatch:
             rows = list(_dealt(records, buckets))
@@ -200,16 +213,18 @@ def _records(docs: DataFrame, buckets: int) -> DataFrame:
 
         for whole in batches:
             for batch in by_bytes(whole, "text"):
-                ids, tags = batch.column("ord").to_numpy(), batch.column("tag").to_numpy().astype(np.int64)
+                ids, tags = batch.column("ord").to_numpy(), batch.column("tag").to_numpy()
                 for data, ends, number, place in joined(batch.column("text").to_pylist()):
                     starts, stops, _, anchor, stretch = runs(data, ends)
                     piece = np.searchsorted(ends, starts, "right")
                     begins = np.concatenate([[0], ends[:-1]])
                     text = number[piece]
                     if len(starts):
-                        records.append((anchor, stretch, ids[text], tags[text], starts - begins[piece] + place[piece], stops - starts))
+                        records.append((anchor, stretch, ids[text], tags[text], (text + seen).astype(np.int32),
+                                        starts - begins[piece] + place[piece], stops - starts))
                     if sum(len(r[0]) for r in records) >= _FLUSH:
                         yield flush()
+                seen += batch.num_rows
         if records:
             yield flush()
 
@@ -262,7 +277,7 @@ def _sorted_buckets(records: DataFrame, buckets: int) -> DataFrame:
 
 
 def _interval_batch(columns: list[np.ndarray]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32())
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32())
     arrays = [pa.array(c, k) if k == pa.bool_() else pa.array(c).cast(k) for c, k in zip(columns, kinds, strict=True)]
     return pa.RecordBatch.from_arrays(arrays, ["ord", "tag", "probe", "start", "stop"])
 
@@ -290,7 +305,7 @@ def _by_document(intervals: DataFrame) -> DataFrame:
                                              ["ord", "tag", "starts", "stops"])
 
     grouped = intervals.groupBy("ord", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("all"))
-    return grouped.mapInArrow(merge, "ord bigint, tag int, starts array<int>, stops array<int>")
+    return grouped.mapInArrow(merge, "ord bigint, tag bigint, starts array<int>, stops array<int>")
 
 
 def _least_documents(rows: DataFrame, again: bool) -> DataFrame:
@@ -300,7 +315,7 @@ def _least_documents(rows: DataFrame, again: bool) -> DataFrame:
     """
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches, schema=pa.schema([
-            ("h", pa.int64()), ("ord", pa.int64()), ("tag", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())]))
+            ("h", pa.int64()), ("ord", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())]))
         if not len(table):
             return
         h, doc = table["h"].to_numpy(), table["ord"].to_numpy()
@@ -312,10 +327,10 @@ def _least_documents(rows: DataFrame, again: bool) -> DataFrame:
         own = order[(doc[order] > least) if again else (least < most)]
         yield from table.select(["ord", "tag", "start", "stop"]).take(pa.array(own)).to_batches(max_chunksize=1 << 20)
 
-    return rows.repartition("h").mapInArrow(find, "ord bigint, tag int, start int, stop int")
+    return rows.repartition("h").mapInArrow(find, "ord bigint, tag bigint, start int, stop int")
 
 
-HASHED = "h bigint, ord bigint, tag int, start int, stop int"
+HASHED = "h bigint, ord bigint, tag bigint, start int, stop int"
 
 
 def _hashed(docs: DataFrame, lists: DataFrame, hashes: Callable) -> DataFrame:
@@ -336,7 +351,7 @@ def _hashed(docs: DataFrame, lists: DataFrame, hashes: Callable) -> DataFrame:
                         found.append((h.view(np.int64), same * ids[n], same * tags[n], first + at, last + at))
                 if found:
                     columns = [np.concatenate(c) for c in zip(*found, strict=True)]
-                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
                     yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(columns, kinds, strict=True)],
                                                      ["h", "ord", "tag", "start", "stop"])
 
@@ -379,7 +394,7 @@ def removed_intervals(docs: DataFrame, id_column: str = "doc_id", text_column: s
     """Each row's id and text (as bytes) with the merged intervals to remove."""
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     order = F.coalesce(F.col(id_column).cast("bigint"), F.lit(-(1 << 63)).cast("bigint"))
-    tag: Column = F.xxhash64(text).bitwiseAND(F.lit((1 << _TAG_BITS) - 1)).cast("int")
+    tag: Column = F.xxhash64(text)
     rows = docs.select(F.col(id_column).alias("id"), order.alias("ord"), tag.alias("tag"), text.cast("binary").alias("text"),
                        F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"))
     long_rows = rows.where(F.octet_length("text") >= STRING)

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -74,6 +75,20 @@ def test_edge_rows(spark):
     assert found(no_documents(spark)) == []
 
 
+def test_texts_of_one_id_are_told_apart(spark):
+    """Two texts of one id whose hashes agree in the low 24 bits, as among thousands of rows with one id."""
+    passage, seen, at = "".join(random.Random(4).choice("abcdefgh ") for _ in range(90)), {}, 0
+    while True:  # with the passage at an even number, without at an odd one
+        text = f"{at} {passage}" if at % 2 == 0 else f"{at} " + str(at) * 30
+        other = seen.setdefault(xxhash.xxh64_intdigest(text.encode(), 42) & 0xFFFFFF, text)
+        if (passage in text) != (passage in other):
+            break
+        at += 1
+    docs = [(1, passage), (7, text), (7, other), (8, "some other text, also with a part of it: " + passage[:70])]
+    rows = found(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert rows == brute(docs)
+
+
 def test_long_texts_are_cut_into_pieces(spark):
     rng = random.Random(1)
     text = "".join(rng.choice("abcdefghijklmnop ") for _ in range(3 * s._PIECE))
