@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sumstead.llm import (
+    bitplane_clusters,
     chat_format,
     decontaminate,
     line_dedup,
@@ -21,7 +22,7 @@ from sumstead.llm import (
 
 _MODULES = (
     line_dedup, packing, quality_classifier, token_files, quality_rules, decontaminate, chat_format, simhash_tree, token_counts,
-    suffix_dedup,
+    suffix_dedup, bitplane_clusters,
 )
 
 
