@@ -211,16 +211,16 @@ def op11_bitplane_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     steps = [f"""kept AS (
-        SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
         FROM embeddings
-        WHERE len(embedding) = {SIZE} AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = {SIZE}),
+        WHERE len(embedding) = {SIZE} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {SIZE}),
     c0 AS (
         SELECT row_number() OVER (ORDER BY sha256('{SEED}:' || vec_id), v) - 1 AS c, v FROM kept
         QUALIFY c < {K})"""]
     for i in range(ROUNDS + 1):
         steps.append(f"""a{i} AS (
         SELECT r, any_value(vec_id) AS vec_id, any_value(k.v) AS v, min(struct_pack(
-            d := list_sum(list_transform(list_zip(k.v, c.v), p -> (p[1] - p[2]) * (p[1] - p[2]))), c := c)) AS m
+            d := list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), c := c)) AS m
         FROM kept k, c{i} c GROUP BY r)""")
         if i < ROUNDS:
             steps.append(f"""c{i + 1} AS (
