@@ -10,6 +10,7 @@ from sumstead.llm import (
     bitplane_clusters,
     chat_format,
     decontaminate,
+    kneser_ney,
     line_dedup,
     packing,
     quality_classifier,
@@ -22,7 +23,7 @@ from sumstead.llm import (
 
 _MODULES = (
     line_dedup, packing, quality_classifier, token_files, quality_rules, decontaminate, chat_format, simhash_tree, token_counts,
-    suffix_dedup, bitplane_clusters,
+    suffix_dedup, bitplane_clusters, kneser_ney,
 )
 
 
