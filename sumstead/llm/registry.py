@@ -16,6 +16,7 @@ from sumstead.llm import (
     quality_classifier,
     quality_rules,
     simhash_tree,
+    spelling_variants,
     suffix_dedup,
     token_counts,
     token_files,
@@ -23,7 +24,7 @@ from sumstead.llm import (
 
 _MODULES = (
     line_dedup, packing, quality_classifier, token_files, quality_rules, decontaminate, chat_format, simhash_tree, token_counts,
-    suffix_dedup, bitplane_clusters, kneser_ney,
+    suffix_dedup, bitplane_clusters, spelling_variants, kneser_ney,
 )
 
 
