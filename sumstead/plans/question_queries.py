@@ -11,7 +11,6 @@ from sumstead.operators import linking as li
 from sumstead.operators import metrics as m
 from sumstead.operators import questions as qu
 from sumstead.plans import views as v
-from sumstead.session import cut_lineage
 
 KEYS = ("conv_id", "turn")
 
@@ -24,15 +23,9 @@ def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return an.read_and_link(v.question_log(spark, sf_dir), v.star_workspace(spark, sf_dir))
 
 
-_ANSWERED: dict[tuple[str, str], DataFrame] = {}
-
-
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All questions answered; stored once in an application, as ten queries look at them."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _ANSWERED:
-        _ANSWERED[key] = cut_lineage(an.answer(v.question_log(spark, sf_dir), v.star_workspace(spark, sf_dir)), "answers")
-    return _ANSWERED[key]
+    """All questions answered, by each query anew."""
+    return an.answer(v.question_log(spark, sf_dir), v.star_workspace(spark, sf_dir))
 
 
 def _by_intent(spark: SparkSession, sf_dir: str, intent: str) -> DataFrame:
@@ -60,13 +53,17 @@ def l4_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir).select(*KEYS, "phrase")
 
 
+def _alias_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return li.shared_lengths(li.product_catalog(v.star_workspace(spark, sf_dir)))
+
+
 def l5_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return li.unique_aliases(li.product_catalog(v.star_workspace(spark, sf_dir)))
+    return li.unique_aliases(_alias_positions(spark, sf_dir))
 
 
 def a11_alias_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The aliases that decide matches: none contains a shorter one."""
-    return li.shortest_aliases(l5_aliases(spark, sf_dir))
+    return li.shortest_aliases(_alias_positions(spark, sf_dir))
 
 
 def j7_question_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +139,10 @@ def f7_out_of_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.where(qu.is_out_of_scope(qu.plain_question(F.col("text")))).select(*KEYS, "text")
 
 
-_KINDS = {qu.PRODUCT_REVENUE: "product", qu.CATEGORY_LEADER: "category", qu.AOV_TREND: "trend"}
+_KINDS = {
+    qu.PRODUCT_REVENUE: "product", qu.CATEGORY_LEADER: "category", qu.AOV_TREND: "trend", qu.PRODUCT_RANKING: "ranking",
+    qu.STORE_COMPARISON: "store",
+}
 
 
 def _expected(workspace: Workspace, kind: str, metric: str, dimension: str | None, best: bool = False) -> DataFrame:
@@ -161,15 +161,20 @@ def _expected(workspace: Workspace, kind: str, metric: str, dimension: str | Non
 
 
 def j9_reconciled_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every cited product, leading category and trend value against independent metric queries."""
+    """Every cited value against independent metric queries: products, trends, and the leaders of categories, rankings and stores.
+
+    A store answer cites the leader's revenue, compared with the largest of its
+    period, and its average order value, compared with that store's own.
+    """
     workspace = v.star_workspace(spark, sf_dir)
     kind = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])[F.col("intent")]
     month = F.coalesce(F.date_format("date_from", "yyyy-MM"), F.lit(""))
     cited = (
         _answers(spark, sf_dir).where(F.col("intent").isin(*_KINDS) & (F.col("status") == "answered"))
         .select(kind.alias("kind"), "product", month.alias("month"), F.explode("citations").alias("c"))
+        .withColumn("kind", F.when(F.col("c.metric") == "average_order_value", F.replace("kind", F.lit("store"), F.lit("store_aov"))).otherwise(F.col("kind")))
         .select(
-            "kind", F.when(F.col("kind") == "product", F.col("product")).otherwise("").alias("name"),
+            "kind", F.when(F.col("kind") == "product", F.col("product")).when(F.col("kind") == "store_aov", F.col("c.dimensions")["store"]).otherwise("").alias("name"),
             F.when(F.col("kind") == "trend", F.col("c.dimensions")["date"]).otherwise(F.col("month")).alias("date"), "c.value",
         )
         .groupBy("kind", "name", "date")
@@ -179,6 +184,9 @@ def j9_reconciled_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         _expected(workspace, "product", "revenue", "product")
         .unionByName(_expected(workspace, "category", "revenue", "store_category", best=True))
         .unionByName(_expected(workspace, "trend", "average_order_value", None))
+        .unionByName(_expected(workspace, "ranking", "revenue", "product", best=True))
+        .unionByName(_expected(workspace, "store", "revenue", "store", best=True))
+        .unionByName(_expected(workspace, "store_aov", "average_order_value", "store"))
     )
     value = F.coalesce("expected", F.lit(0.0))
     wrong = ~(F.col("low").eqNullSafe(value) & F.col("high").eqNullSafe(value))

@@ -235,5 +235,11 @@ ORACLES = {
         UNION ALL
         SELECT 'category', count(*), count(DISTINCT coalesce(month, 0)), 0 FROM given WHERE intent = 'category_leader' HAVING count(*) > 0
         UNION ALL
-        SELECT 'trend', 2 * count(*), 2, 0 FROM given WHERE intent = 'aov_trend' HAVING count(*) > 0""",
+        SELECT 'trend', 2 * count(*), 2, 0 FROM given WHERE intent = 'aov_trend' HAVING count(*) > 0
+        UNION ALL
+        SELECT 'ranking', count(*), count(DISTINCT coalesce(month, 0)), 0 FROM given WHERE intent = 'product_ranking' HAVING count(*) > 0
+        UNION ALL
+        SELECT 'store', count(*), count(DISTINCT coalesce(month, 0)), 0 FROM given WHERE intent = 'store_comparison' HAVING count(*) > 0
+        UNION ALL
+        SELECT 'store_aov', count(*), count(DISTINCT (s_name, coalesce(month, 0))), 0 FROM given WHERE intent = 'store_comparison' HAVING count(*) > 0""",
 }
