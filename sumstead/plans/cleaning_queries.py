@@ -14,7 +14,7 @@ from sumstead.functions.text import entity_key
 from sumstead.model import Source
 from sumstead.operators import cleaning as c
 from sumstead.plans import views as v
-from sumstead.session import new_folder
+from sumstead.session import cut_lineage, new_folder
 from sumstead.sources import runs as r
 from sumstead.sources import scans
 
@@ -58,6 +58,15 @@ def s2_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.unpack(store.raw("sales"), ("order_id", "date", "amount"))
 
 
+def s2_quoted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as CSV with line breaks, quotes and separators in each text, numbered as they were written."""
+    rows = v.table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), F.lit('\n"'), F.coalesce("role", F.lit("")), F.lit('",\n')).alias("text"))
+    path = write_csv(rows.orderBy("conv_id", "turn", "text"), f"{new_folder(spark, "run")}/quoted")
+    placed = cut_lineage(scans.scan(spark, Source("conversations", path, quoted_newlines=True)), "placed")
+    return scans.number_rows(placed, scans.source_splits(placed)).select("source_row_number", "conv_id", "turn", "text", "malformed")
+
+
 def s3_ragged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     line = (
@@ -314,7 +323,7 @@ def e1_processor(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f"q_{f.__name__}": f
     for f in (
-        s1_text_scan, s2_row_numbers, s3_ragged_rows, s4_fingerprints, s5_payloads, s6_source_counts,
+        s1_text_scan, s2_row_numbers, s2_quoted_rows, s3_ragged_rows, s4_fingerprints, s5_payloads, s6_source_counts,
         s7_replaced_runs, s8_latest_run, s9_run_status, s10_clean_tables, s11_event_table,
         n1_identifiers, n2_texts, n3_dates, n4_integers, n5_money, n6_missing_keys, n7_repairs, n8_contents,
         n22_entity_keys, n23_acceptance_rate, f5_quarantine_rules, j3_unknown_keys, j4_price_lookup,

@@ -110,6 +110,10 @@ _CONTENT = (
 ORACLES = {
     "q_s1_text_scan": f"{CANDIDATES} SELECT * EXCLUDE (source_row_number) FROM raw_sales",
     "q_s2_row_numbers": f"{RENUMBERED} SELECT source_row_number, order_id, date, amount FROM raw_sales",
+    "q_s2_quoted_rows": """
+        WITH rows AS (SELECT conv_id, turn, coalesce(text, '') || chr(10) || '"' || coalesce(role, '') || '",' || chr(10) AS text FROM conversations)
+        SELECT row_number() OVER (ORDER BY conv_id, turn, text) + 1 AS source_row_number, cast(conv_id AS VARCHAR) AS conv_id,
+          cast(turn AS VARCHAR) AS turn, text, FALSE AS malformed FROM rows""",
     "q_s3_ragged_rows": """
         SELECT cast(o_orderkey AS VARCHAR) AS k,
           CASE o_orderkey % 4 WHEN 0 THEN 'x' WHEN 1 THEN 'a, b' WHEN 2 THEN '' ELSE '1' END AS first,

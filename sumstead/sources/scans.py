@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 from sumstead.functions.hashing import fingerprint
 from sumstead.model import Source
 from sumstead.operators.skew import join_one
+from sumstead.session import cut_lineage
+from sumstead.sources import quoted
 
 RECORD = "_record"
 PLACE = ("source_file", "source_block", "source_position")
@@ -38,18 +40,34 @@ def scan(spark: SparkSession, source: Source) -> DataFrame:
         return _with_place(frame, cells, F.lit(False))
     names = list(source.columns) or _header(spark, source)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, RECORD)])
-    frame = spark.read.schema(schema).csv(
-        source.path, header=True, multiLine=source.quoted_newlines, quote='"', escape='"', encoding="UTF-8",
-        mode="PERMISSIVE", columnNameOfCorruptRecord=RECORD, enforceSchema=False,
-    )
-    # Cells of a ragged record: separators outside quotes, plus one.  Nothing backtracks, however long a cell is.
-    bare = F.regexp_replace(RECORD, '"(?:[^"]++|"")*+"', "")
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": RECORD}
+    if source.quoted_newlines:
+        frame = _quoted_records(spark, source, names, schema, options)
+    else:
+        frame = spark.read.schema(schema).options(**options).csv(source.path, header=True, encoding="UTF-8", enforceSchema=False)
+    # Cells of a ragged record: separators outside quotes, plus one.
+    bare = quoted.without_quoted(F.col(RECORD))
     n_cells = F.char_length(bare) - F.char_length(F.replace(bare, F.lit(","), F.lit(""))) + 1
     cells = [
         F.when(F.col(RECORD).isNull() | (F.lit(i) < n_cells), F.coalesce(F.col(f"`{n}`"), F.lit(""))).alias(n)
         for i, n in enumerate(names)
     ]
-    return _with_place(frame, cells, F.coalesce(n_cells > len(names), F.lit(False)))
+    malformed = F.coalesce(n_cells > len(names), F.lit(False))
+    if source.quoted_newlines:
+        return frame.select(*cells, malformed.alias("malformed"), *PLACE)
+    return _with_place(frame, cells, malformed)
+
+
+def _quoted_records(spark: SparkSession, source: Source, names: list[str], schema: T.StructType, options: dict[str, str]) -> DataFrame:
+    """Parsed records whose cells may hold line breaks; files whose header isn't ``names`` are an error."""
+    found = cut_lineage(quoted.records(spark, source.path), "records")
+    ddl = ", ".join(f"`{n.replace('`', '``')}` string" for n in schema.names)
+    parsed = found.select("header", *PLACE, F.from_csv("record", ddl, {**options, "multiLine": "true"}).alias("_row"))
+    wrong = F.array(*[F.col("_row").getField(n) for n in names]) != F.array(*[F.lit(n) for n in names])
+    other = parsed.where("header").where(F.coalesce(wrong, F.lit(True)) | F.col("_row").getField(RECORD).isNotNull()).select("source_file").first()
+    if other:
+        raise SourceError(f"source {source.name}: the header of {other['source_file']} is not {names}")
+    return parsed.where("NOT header").select("_row.*", *PLACE)
 
 
 def _with_place(frame: DataFrame, cells: list[Column], malformed: Column) -> DataFrame:
