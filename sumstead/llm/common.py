@@ -16,6 +16,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plain_names(docs: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """The frame with columns named c0, c1, ..., so that none has a name an operator uses, and the new names of some."""
+    places = {name.lower(): i for i, name in enumerate(docs.columns)}
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), [f"c{places[c.lower()]}" for c in columns]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once."""
     return F.get(F.transform(F.array(value), body), 0)

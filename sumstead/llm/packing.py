@@ -11,7 +11,9 @@ with the table, and each shard is packed by itself; only lengths are dealt.  A
 shard leaves about one sequence half full.
 
 A null text is an empty text, which is its end id alone; repeated rows are
-packed each; null ids stay; extra columns are left out.
+packed each; ids pass through as they are, nulls and large ones too; extra columns
+are left out; an empty table gives no rows.  Texts are encoded in batches of
+bounded bytes, a longer text alone.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -123,16 +124,16 @@ def pack(cut: DataFrame, capacity: Capacity | None = None, shard_pieces: int = S
     capacity = capacity or Capacity()
     shards = max(1, -(-cut.count() // shard_pieces))
 
-    def place(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    def place(key: tuple, group: pa.Table) -> pa.Table:
         # Rows arrive in any order; the result must be the same when a task is repeated.
-        group = group.sort_values(["length", "ids_crc32", "doc_id", "start"]).reset_index(drop=True)
+        group = group.sort_by([(c, "ascending") for c in ("length", "ids_crc32", "doc_id", "start")]).drop_columns("shard")
         sequence, offset = best_fit(group["length"].to_numpy(), capacity)
-        group["sequence_id"], group["offset"] = sequence + (int(key[0]) << 32), offset
-        return group.drop(columns="shard")
+        placed = pa.array(sequence + (key[0].as_py() << 32))
+        return group.append_column("sequence_id", placed).append_column("offset", pa.array(offset))
 
     # By row, not by id: rows with one id are dealt to all shards.
     shard = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))
-    return cut.withColumn("shard", shard).groupBy("shard").applyInPandas(place, PLACED)
+    return cut.withColumn("shard", shard).groupBy("shard").applyInArrow(place, PLACED)
 
 
 def packed(docs: DataFrame, vocabulary_path: str, capacity: Capacity | None = None) -> DataFrame:
