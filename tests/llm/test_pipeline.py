@@ -1,5 +1,6 @@
 """The pipeline against brute force, stage by stage."""
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as contract
@@ -8,7 +9,7 @@ from sumstead.llm import decontaminate, packing
 from tests.llm.edge_rows import edge_documents
 from tests.llm.test_line_dedup import BLANKS, brute
 from tests.llm.test_native import counts
-from tests.llm.test_simhash import slow_components, slow_fingerprint
+from tests.llm.test_near_copies import brute as without_near_copies
 from tests.llm.test_tokens import check_packing
 
 SF = "/root/testdata/sf0.001"
@@ -22,28 +23,26 @@ def good(text):
                 or 2 * capitals > chars or chars < 2 * words or chars > 20 * words or 2 * dup_lines > len(lines))
 
 
-def without_near_copies(docs):
-    label = slow_components([slow_fingerprint(t) for _, t in docs])
-    first = {}
-    for (doc, _), own in zip(docs, label, strict=True):
-        first[own] = min(doc, first.get(own, doc))
-    return [(d, t) for (d, t), own in zip(docs, label, strict=True) if first[own] == d]
-
-
 def expected(docs, items):
     docs = [(d, t) for d, t in docs if good(t)]
     yield docs
     left = brute(docs)
     docs = [(d, left[d]) for d, t in docs if left[d] == t or left[d].strip(BLANKS)]
     yield docs
-    docs = without_near_copies(docs)
+    kept = set(without_near_copies(docs))
+    docs = [(d, t) for d, t in docs if d in kept]
     yield docs
-    # Every item against every text; align() itself is tested cell by cell elsewhere.
+    # Every item against every text that has enough of its words; align() itself is tested cell by cell elsewhere.
     block = decontaminate.Block.of([(None, decontaminate.words_of(t)) for t in items])
-    texts = [(d, t, block.hits(t)[0]) for d, t in docs]
-    docs = [(d, t) for d, t, w in texts
-            if not any(len(i) >= 3 and decontaminate.align(i, w)[0] >= 1.2 * len(i) for i in block.items)]
-    yield docs
+    clean = []
+    for doc, text in docs:
+        numbers = block.hits(text)[0]
+        there = np.bincount(numbers, minlength=len(block.words) + 1)
+        may = (i for i in block.items if len(i) >= 3 and decontaminate.MATCH * np.minimum(
+            np.bincount(i, minlength=len(there)), there).sum() >= 1.2 * len(i))
+        if not any(decontaminate.align(i, numbers)[0] >= 1.2 * len(i) for i in may):
+            clean.append((doc, text))
+    yield clean
 
 
 def test_stages_equal_brute_force(spark):
