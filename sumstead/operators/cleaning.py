@@ -231,11 +231,12 @@ def repair_events(candidates: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_events(candidates: DataFrame, hot_rows: int = HOT_ROWS, bound: int | None = None) -> DataFrame:
-    """W1's dropped rows, each with the row number that was kept."""
+def duplicate_events(candidates: DataFrame, hot_rows: int = HOT_ROWS, bound: int | None = None,
+                     contents: DataFrame | None = None) -> DataFrame:
+    """W1's dropped rows, each with the row number that was kept; ``contents`` are the distinct ones, if they are there already."""
     content = F.struct(*CONTENT).alias("_content")
     kept = (
-        distinct_contents(candidates)
+        (distinct_contents(candidates) if contents is None else contents)
         .where(F.col("copies") > 1)
         .select(content, F.col("source_row_number").alias("kept_source_row_number"))
     )
@@ -273,7 +274,7 @@ def ledger(candidates: DataFrame, judged: DataFrame) -> DataFrame:
     """Every decision, one row each."""
     return (
         repair_events(candidates)
-        .unionByName(duplicate_events(candidates))
+        .unionByName(duplicate_events(candidates, contents=judged))
         .unionByName(outcome_events(judged))
     )
 
@@ -336,20 +337,27 @@ def conflict_keys(contents: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class CleanRun:
-    """Everything one cleaning run yields, all lazy."""
+    """Everything one cleaning run yields, all lazy; what several branches use is stored by ``stored``."""
 
     candidates: DataFrame
     judged: DataFrame
     stores: DataFrame
     products: DataFrame
 
+    def stored(self) -> CleanRun:
+        """The run with its candidates and judged rows written once."""
+        candidates = cut_lineage(self.candidates, "candidates")
+        return CleanRun(candidates, cut_lineage(judge(candidates, self.stores, self.products), "judged"), self.stores, self.products)
+
     @property
     def accepted(self) -> DataFrame:
         return accepted_sales(self.judged)
 
     @property
     def events(self) -> DataFrame:
-        return ledger(self.candidates, self.judged)
+        """Repairs, duplicates and outcomes start from the same rows, so these are stored first."""
+        run = self.stored()
+        return ledger(run.candidates, run.judged)
 
     @property
     def summary(self) -> DataFrame:
@@ -359,23 +367,21 @@ class CleanRun:
 def clean(raw_sales: DataFrame, raw_stores: DataFrame, raw_products: DataFrame) -> CleanRun:
     stores = canonicalize_stores(raw_stores)
     products = canonicalize_products(raw_products)
-    # Parsed once: judging, duplicates and repairs all start from these rows.
-    candidates = cut_lineage(normalize_sales(raw_sales), "candidates")
-    return CleanRun(candidates, cut_lineage(judge(candidates, stores, products), "judged"), stores, products)
+    candidates = normalize_sales(raw_sales)
+    return CleanRun(candidates, judge(candidates, stores, products), stores, products)
 
 
 def restaurant_processor(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The processor of the sales domain."""
     stores = require_valid_dimension(canonicalize_stores(raw["stores"]), "store_id")
     products = require_valid_dimension(canonicalize_products(raw["products"]), "product_id")
-    candidates = cut_lineage(normalize_sales(raw["sales"]), "candidates")
+    candidates = normalize_sales(raw["sales"])
     # Accepted rows, events and the summary all start from the judged rows.
-    judged = cut_lineage(judge(candidates, stores, products))
-    run = CleanRun(candidates, judged, stores, products)
+    run = CleanRun(candidates, judge(candidates, stores, products), stores, products).stored()
     return {
         "sales": run.accepted,
         "stores": stores.drop("source_row_number"),
         "products": products.drop("source_row_number"),
-        "events": run.events,
+        "events": ledger(run.candidates, run.judged),
         "judged": run.judged,
     }

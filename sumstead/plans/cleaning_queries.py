@@ -303,7 +303,7 @@ def q7_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q8_quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = run(spark, sf_dir)
+    clean = run(spark, sf_dir).stored()
     return c.quality_summary(clean.summary, c.quality_breakdown(clean.judged))
 
 
