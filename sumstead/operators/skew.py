@@ -20,19 +20,23 @@ HOT_ROWS = 200_000
 SLOTS = 256
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """Bytes in memory of all tables a frame reads, after pruning.
+def planned_bytes(df: DataFrame) -> int | None:
+    """Bytes in memory of all tables a frame reads, after pruning; None where the plan can't be seen, as through Spark Connect.
 
     The optimizer multiplies its estimates at every join.  The frames checked
     here have one row per key, so what they read bounds them far better.  Files
     are compressed, so their bytes count IN_MEMORY times.
     """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    plan = getattr(df, "_jdf", None)
+    if plan is None:
+        return None
+    leaves = plan.queryExecution().optimizedPlan().collectLeaves()
     return IN_MEMORY * sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def fits_broadcast(df: DataFrame, bound: int | None = None) -> bool:
-    return planned_bytes(df) <= (BROADCAST_BYTES if bound is None else bound)
+    size = planned_bytes(df)
+    return size is not None and size <= (BROADCAST_BYTES if bound is None else bound)
 
 
 def hot_hashes(rows: DataFrame, key_hash: Column, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -4,10 +4,11 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from sumstead.model import MetricQuery
+from sumstead.model import MetricQuery, Workspace
 from sumstead.operators import cleaning as c
+from sumstead.operators.answers import store_periods
 from sumstead.operators.metrics import metric_points
-from sumstead.operators.skew import join_one
+from sumstead.operators.skew import fits_broadcast, join_one
 from sumstead.plans import views as v
 
 SF = "/root/testdata/sf0.001"
@@ -123,3 +124,29 @@ def test_a_small_side_is_broadcast_and_a_large_one_is_spread(spark):
     assert "_slot" in plans[1]
     columns = sorted(plain.columns)
     assert sorted(map(tuple, plain.select(columns).collect())) == sorted(map(tuple, spread.select(columns).collect()))
+
+
+def test_a_plan_that_cannot_be_seen_is_not_broadcast(spark):
+    class Remote:
+        """A frame without a plan in this process."""
+
+    assert not fits_broadcast(Remote())
+    assert fits_broadcast(spark.range(3)) and not fits_broadcast(spark.range(3), 0)
+
+
+def test_store_orders_equal_distinct_counts(spark):
+    facts = spark.createDataFrame(
+        [(1, "2026-01-05", "a", 5), (1, "2026-01-06", "a", 7), (1, "2026-02-01", "a", 1), (1, "2025-02-01", "a", 2), (1, "2026-02-02", None, 9),
+         (2, "2026-03-01", None, 3), (2, "2025-03-01", "b", None), (3, "2026-12-31", "c", -4)],
+        "store_id long, d string, order_id string, amount_cents long").withColumn("sale_date", F.to_date("d"))
+    stores = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "store_id long, store_name string")
+    workspace = Workspace(v.STAR_MODEL, facts, {"store": stores})
+    names, cells = {1: "x", 2: "x", 3: "y"}, defaultdict(lambda: [None, set()])
+    for r in facts.collect():
+        for period in [0] + [r["sale_date"].month] * (r["sale_date"].year == 2026):
+            cell = cells[names[r["store_id"]], period]
+            if r["amount_cents"] is not None:
+                cell[0] = (cell[0] or 0) + r["amount_cents"]
+            cell[1] |= {r["order_id"]} - {None}
+    found = store_periods(workspace, 2026).select("name", "period", "value", "orders").collect()
+    assert sorted(map(tuple, found)) == sorted((n, p, total, len(orders)) for (n, p), (total, orders) in cells.items())
