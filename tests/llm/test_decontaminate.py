@@ -65,6 +65,25 @@ def test_matches_equal_brute_force(spark, block_words):
     assert kept == {n for n, _ in docs} - {n for n, _ in wanted}
 
 
+@pytest.mark.parametrize("min_score", [0.5, 0.6, 0.75, 1.0])
+def test_short_items_equal_brute_force(spark, min_score):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(40)]
+    items = [(i, [rng.choice(vocabulary) for _ in range(1 + i % 12)]) for i in range(36)]
+    docs = [(0, "so the quick red fox jumps far".split())]
+    items.append((36, "the quick brown fox jumps".split()))
+    for n in range(1, 300):
+        own = edited(rng, rng.choice(items)[1], rng.random() * 0.5)
+        docs.append((n, [f"v{n}"] * rng.randrange(3) + own + [rng.choice(vocabulary) for _ in range(rng.randrange(4))]))
+    frame = spark.createDataFrame([(n, " ".join(w)) for n, w in docs], "doc_id bigint, text string")
+    table = spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id bigint, text string")
+    found = d.contaminated(frame, table, min_score).collect()
+    wanted = {(n, i): slow_score(item, words) / (2 * len(item)) for n, words in docs for i, item in items}
+    wanted = {pair: score for pair, score in wanted.items() if score >= min_score}
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in found} == wanted and len(wanted) > 100
+    assert ((0, 36) in wanted) == (min_score <= 0.7)
+
+
 def test_common_seeds_are_left_out():
     words = [f"w{i}" for i in range(40)]
     block = d.Block.of([(1, words)])
@@ -77,9 +96,12 @@ def test_edge_rows(spark):
     items = spark.createDataFrame([(1, "Same TEXT here"), (1, "same text here"), (None, "the answer of a long text the answer of a"),
                                    (2, None), (3, ""), (4, "ab")], "item_id bigint, text string").selectExpr("*", "1 AS doc_id")
     found = sorted((r["doc_id"], r["item_id"] or 0, r["score"]) for r in d.contaminated(docs, items).collect())
-    assert found == sorted([(5, 0, 1.0)] + [(n, 1, 1.0) for n in (7, 7, 8)] * 2)
+    # Item 4 is one word, which document 6 holds.
+    assert found == sorted([(5, 0, 1.0), (6, 4, 1.0)] + [(n, 1, 1.0) for n in (7, 7, 8)] * 2)
     kept = d.clean(docs, items)
-    assert kept.columns == docs.columns and kept.count() == docs.count() - 4
+    assert kept.columns == docs.columns and kept.count() == docs.count() - 5
+    clashing = docs.selectExpr("doc_id", "text", "id AS _text", "id AS c1")
+    assert d.clean(clashing, items).columns == clashing.columns and d.clean(clashing, items).count() == docs.count() - 5
     assert d.contaminated(no_documents(spark), items).count() == 0
     assert d.contaminated(docs, items.where("false")).count() == 0
     assert d.clean(docs, items.where("false")).count() == docs.count()
