@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BATCH_BYTES = 4 << 20
 
@@ -22,6 +23,13 @@ def plain_names(docs: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
     return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), [f"c{places[c.lower()]}" for c in columns]
 
 
+def with_text(docs: DataFrame, text_column: str) -> tuple[DataFrame, str]:
+    """The frame and its column of texts as strings: the given one if it is such, else ``_text``, so that no text is handed over twice."""
+    if isinstance(docs.schema[text_column].dataType, T.StringType):
+        return docs, text_column
+    return docs.withColumn("_text", F.col(text_column).cast("string")), "_text"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once."""
     return F.get(F.transform(F.array(value), body), 0)

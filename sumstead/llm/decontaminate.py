@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumstead.llm.common import by_bytes, plain_names, read_table, texts_of
+from sumstead.llm.common import by_bytes, plain_names, read_table, texts_of, with_text
 from sumstead.session import cut_lineage
 
 #: Words of a seed, the largest that is sure first.
@@ -278,16 +278,16 @@ def clean(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, text_
         if n:
             docs = cut_lineage(docs, "left")
         shared = spark.sparkContext.broadcast(with_rare_seeds(docs, block, min_score, text_column))
-        marked = docs.select("*", F.col(text_column).cast("string").alias("_text"))
-        docs = marked.mapInArrow(_filter(shared, min_score, names), schema)
+        marked, text = with_text(docs, text_column)
+        docs = marked.mapInArrow(_filter(shared, min_score, names, text), schema)
     return docs.toDF(*given)
 
 
-def _filter(shared, min_score: float, names: list[str]):
+def _filter(shared, min_score: float, names: list[str], text: str):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in by_bytes(whole, "_text"):
-                held = [next(shared.value.matches(t, min_score), None) is None for t in texts_of(batch, "_text")]
+            for batch in by_bytes(whole, text):
+                held = [next(shared.value.matches(t, min_score), None) is None for t in texts_of(batch, text)]
                 own = pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))], names)
                 yield own.filter(pa.array(held, pa.bool_()))
 
