@@ -53,13 +53,23 @@ def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts, ends = (ends - lengths)[: len(words) - size + 1], ends[size - 1 :]
-    ones, digest = np.zeros(BITS, dtype=np.int64), xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_intdigest
+    found = []
     for at in range(0, len(starts), _CHUNK):
         some = zip(starts[at : at + _CHUNK].tolist(), ends[at : at + _CHUNK].tolist(), strict=True)
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in some], dtype="<u8")
-        ones += np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(axis=0, dtype=np.int64)
-    majority = (ones * 2 > len(starts)).astype(np.uint8)
-    return int(np.packbits(majority, bitorder="little").view("<i8")[0])
+        found.append(np.array([digest(joined[a:b], SEED) for a, b in some], dtype="<u8"))
+    return of_hashes(found)
+
+
+def of_hashes(parts: list[np.ndarray]) -> int:
+    """The bits that are set in over half of all hashes, as a signed number; 0 without hashes."""
+    ones, n = np.zeros(BITS, dtype=np.int64), 0
+    for hashes in parts:
+        for at in range(0, len(hashes), _CHUNK):
+            some = np.ascontiguousarray(hashes[at : at + _CHUNK], dtype="<u8")
+            ones += np.unpackbits(some.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+    return int(np.packbits((ones * 2 > n).astype(np.uint8), bitorder="little").view("<i8")[0])
 
 
 def with_fingerprint(docs: DataFrame, column: str = "fp", text_column: str = "text",
