@@ -54,16 +54,15 @@ def dashboard(workspace: Workspace, query: MetricQuery | None = None, bound: int
     orders = facts.select(
         F.trunc(day, "month").alias("_month"), F.col(store.fact_key).alias("_store"), "order_id"
     ).distinct()
+    sold = join_one(orders, stores.drop("store_category"), "_store", bound=bound)
+
+    def counted(part: str, label: Column) -> DataFrame:
+        # One part at a time: all in one aggregate would hold each order three times in a task.
+        return sold.groupBy(F.lit(part).alias("part"), label.alias("label")).agg(F.count_distinct("order_id").alias("order_count"))
+
     counts = (
-        join_one(orders, stores.drop("store_category"), "_store", bound=bound)
-        .groupingSets([[], ["_month"], ["store"]], "_month", "store")
-        .agg(F.count_distinct("order_id").alias("order_count"))
-        .select(
-            F.when(F.col("_month").isNotNull(), "month").when(F.col("store").isNotNull(), "store")
-            .otherwise("overall").alias("part"),
-            F.coalesce(grain_text(F.col("_month"), "month"), "store", F.lit("")).alias("label"),
-            "order_count",
-        )
+        counted("overall", F.lit("")).unionByName(counted("month", grain_text(F.col("_month"), "month")))
+        .unionByName(counted("store", F.col("store")))
     )
     return revenue.join(counts, ["part", "label"], "left").select(
         "part", "label", "revenue", "order_count",
