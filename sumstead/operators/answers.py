@@ -195,7 +195,7 @@ def read_and_link(questions: DataFrame, workspace: Workspace, bound: int | None
     Equal texts are read and linked once, however often they are asked, and
     their readings are stored because several branches use them.
     """
-    texts = cut_lineage(q.read_questions(questions.select("text").distinct()))
+    texts = cut_lineage(q.read_questions(questions.select("text").distinct()).drop("plain"))
     linked = link_texts(texts, workspace, bound)
     return join_one(
         questions, linked, "text", "left", list(ROW), bound=bound, sketched=questions.select("text"),
@@ -203,9 +203,13 @@ def read_and_link(questions: DataFrame, workspace: Workspace, bound: int | None
 
 
 def resolve(questions: DataFrame, workspace: Workspace, cal: Calendar, bound: int | None = None,
-            chunk: int = CHUNK) -> DataFrame:
-    """Intent, product and month of every turn, with inheritance."""
-    given = questions.columns
+            chunk: int = CHUNK, carried: tuple[str, ...] | None = None) -> DataFrame:
+    """Intent, product and month of every turn, with inheritance.
+
+    ``carried`` names the columns of the questions that the result keeps, all by
+    default; texts that nobody reads need not travel with their turns.
+    """
+    given = list(carried or questions.columns)
     linked = read_and_link(questions, workspace, bound)
     kept = F.lit(False)
     for intent, ok in _leaves_context(cal, F.col("own_month")).items():
@@ -214,7 +218,8 @@ def resolve(questions: DataFrame, workspace: Workspace, cal: Calendar, bound: in
         F.col("intent") == q.PRODUCT_REVENUE,
         F.when(F.col("own_product").isNotNull(), state(q.PRODUCT_REVENUE, F.col("own_product"), F.col("own_month"))),
     ).when(kept, state(F.col("intent"), None, F.col("own_month")))
-    turns = linked.withColumn("own_state", own_state)
+    read = ("match_count", "matched", "own_product", "intent", "follow_up", "month", "own_month")
+    turns = linked.select(*given, *read, own_state.alias("own_state"))
     # The largest turn number bounds the length of every conversation.
     longest = questions.agg(F.max("turn")).first()[0]
     carried = contexts(turns, _leaves_context(cal, F.col("month")), longest=longest, chunk=chunk)
@@ -371,15 +376,17 @@ def _coverage_texts(cal: Calendar) -> dict[str, str]:
 
 
 def answer(questions: DataFrame, workspace: Workspace, year: int | None = None, bound: int | None = None,
-           chunk: int = CHUNK) -> DataFrame:
+           chunk: int = CHUNK, carried: tuple[str, ...] | None = None, evidence: bool = True) -> DataFrame:
     """One answer per question.
 
     A question without a product meets one of a few dozen finished answers;
-    one with a product meets its cell of the product cube.
+    one with a product meets its cell of the product cube.  ``carried`` is as
+    in ``resolve``; without ``evidence`` citations of products have no id and
+    no scope, for callers that read values only.
     """
-    given = questions.columns
+    given = list(carried or questions.columns)
     cal = calendar(workspace, year)
-    resolved = resolve(questions, workspace, cal, bound, chunk)
+    resolved = resolve(questions, workspace, cal, bound, chunk, carried)
     period = F.coalesce(F.col("month"), F.lit(0)).cast("int")
     # Ranked below and joined to the questions; stored, its real size decides how.
     products = cut_lineage(revenue_by_period(workspace, "product", cal.year, bound), "products")
@@ -425,18 +432,21 @@ def answer(questions: DataFrame, workspace: Workspace, year: int | None = None,
         "reason", "intent", "product", "month", "date_from", "date_to",
         text.alias("answer"),
         F.when(~forgets, F.struct("intent", "product", "date_from", "date_to")).alias("context"),
-        F.when(answered & is_product, F.array(_product_citation(workspace)).cast(CITATIONS))
+        F.when(answered & is_product, F.array(_product_citation(workspace, evidence)).cast(CITATIONS))
         .when(answered, F.col("_plain.citations"))
         .otherwise(F.array().cast(CITATIONS)).alias("citations"),
     )
 
 
-def _product_citation(workspace: Workspace) -> Column:
+def _product_citation(workspace: Workspace, evidence: bool) -> Column:
     first, last, product = F.col("date_from"), F.col("date_to"), F.col("product")
-    evidence = evidence_id(
+    if not evidence:
+        nothing = F.lit(None).cast("string")
+        return _citation(workspace, "revenue", nothing, nothing, F.col("_value"))
+    named = evidence_id(
         F.lit(workspace.model.slug), F.lit(workspace.run_id), F.lit("revenue"), F.array().cast("array<string>"),
         F.create_map(F.lit("product"), F.array(product)), first, last, F.lit("day"), F.lit(100),
     )
     dated = F.when(first.isNotNull(), F.concat(F.lit("date="), first.cast("string"), F.lit(".."), last.cast("string")))
     scope = F.concat_ws("; ", dated, F.concat(F.lit("product="), product))
-    return _citation(workspace, "revenue", evidence, scope, F.col("_value"))
+    return _citation(workspace, "revenue", named, scope, F.col("_value"))

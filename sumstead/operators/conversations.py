@@ -62,36 +62,44 @@ def compose(f: Column, g: Column) -> Column:
     ).cast(MAP)
 
 
-def turn_map(kept: dict[str, Column]) -> Column:
-    """A turn's map from its own reading.
+def turn_map(row: Column, kept: Column) -> Column:
+    """A turn's map from its row, its own reading.
 
     ``own_state`` is what the turn yields by itself; a turn with a month that
     reads as a follow-up changes the month of the context instead.  ``kept``
-    says for an intent whether its answer in ``month`` leaves a context.
+    says for each of PLAIN_INTENTS whether its answer in ``month`` leaves a
+    context.
     """
-    carries = F.col("follow_up") & F.col("month").isNotNull()
-    own, month = F.col("own_state"), F.col("month")
+    carries = row["follow_up"] & row["month"].isNotNull()
+    own, month = row["own_state"], row["month"]
     after = [own] + [
-        F.when(carries, F.when(kept[i], state(i, None, month))).otherwise(own) for i in PLAIN_INTENTS
+        F.when(carries, F.when(kept[i], state(intent, None, month))).otherwise(own) for i, intent in enumerate(PLAIN_INTENTS)
     ]
-    renamed = F.when(F.col("match_count") == 1, state(PRODUCT_REVENUE, F.col("matched"), month))
+    renamed = F.when(row["match_count"] == 1, state(PRODUCT_REVENUE, row["matched"], month))
     return F.struct(
         F.array(*after).alias("after"),
-        (carries & (F.col("match_count") == 0)).alias("keep"),
+        (carries & (row["match_count"] == 0)).alias("keep"),
         F.when(carries, renamed).otherwise(own).alias("product"),
         month.cast("int").alias("month"),
     ).cast(MAP)
 
 
 def _entries(items: DataFrame, level: int, chunk: int) -> DataFrame:
-    """items (conv, pos, map, row) with ``before``, the context before each."""
-    top = level == 1
+    """items (conv, pos, map, row) with ``before``, the context before each.
+
+    Turns come with ``kept`` instead of a map: a map is many times as large as
+    what it follows from, so it is made behind the shuffle.
+    """
+    top, turns = level == 1, "kept" in items.columns
     key = ["conv"] if top else ["conv", "chunk"]
     grouped = (
         items.withColumn("chunk", F.lit(0).cast("bigint") if top else F.floor(F.col("pos") / chunk))
         .groupBy(*key)
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "map", "row"))).alias("items"))
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "kept" if turns else "map", "row"))).alias("items"))
     )
+    if turns:
+        grouped = grouped.withColumn("items", F.transform("items", lambda t: F.struct(
+            t["pos"].alias("pos"), turn_map(t["row"], t["kept"]).alias("map"), t["row"].alias("row"))))
     if top:
         entered = grouped.withColumn("entry", _no_state())
     else:
@@ -135,7 +143,7 @@ def contexts(turns: DataFrame, kept: dict[str, Column], conversation: str = "con
     levels = 1 if longest is not None and longest < chunk else LEVELS
     items = turns.select(
         F.struct(conversation).alias("conv"), F.col(order).cast("bigint").alias("pos"),
-        turn_map(kept).alias("map"), F.struct(*names).alias("row"),
+        F.array(*[kept[i] for i in PLAIN_INTENTS]).alias("kept"), F.struct(*names).alias("row"),
     )
     if levels > 1:
         items = cut_lineage(items)

@@ -23,9 +23,9 @@ def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return an.read_and_link(v.question_log(spark, sf_dir), v.star_workspace(spark, sf_dir))
 
 
-def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _answers(spark: SparkSession, sf_dir: str, evidence: bool = True) -> DataFrame:
     """All questions answered, by each query anew."""
-    return an.answer(v.question_log(spark, sf_dir), v.star_workspace(spark, sf_dir))
+    return an.answer(v.question_log(spark, sf_dir), v.star_workspace(spark, sf_dir), carried=KEYS, evidence=evidence)
 
 
 def _by_intent(spark: SparkSession, sf_dir: str, intent: str) -> DataFrame:
@@ -76,7 +76,7 @@ def l6_linked_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     workspace = v.star_workspace(spark, sf_dir)
-    return an.resolve(v.question_log(spark, sf_dir), workspace, an.calendar(workspace))
+    return an.resolve(v.question_log(spark, sf_dir), workspace, an.calendar(workspace), carried=KEYS)
 
 
 def l7_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +170,7 @@ def j9_reconciled_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])[F.col("intent")]
     month = F.coalesce(F.date_format("date_from", "yyyy-MM"), F.lit(""))
     cited = (
-        _answers(spark, sf_dir).where(F.col("intent").isin(*_KINDS) & (F.col("status") == "answered"))
+        _answers(spark, sf_dir, evidence=False).where(F.col("intent").isin(*_KINDS) & (F.col("status") == "answered"))
         .select(kind.alias("kind"), "product", month.alias("month"), F.explode("citations").alias("c"))
         .withColumn("kind", F.when(F.col("c.metric") == "average_order_value", F.replace("kind", F.lit("store"), F.lit("store_aov"))).otherwise(F.col("kind")))
         .select(

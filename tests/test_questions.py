@@ -134,3 +134,12 @@ def test_findings_come_in_priority_order(spark, shop):
     assert {r.kind for r in feed} == {"daily_signal", "performance_pulse", "growth_driver"}
     ranks = [("high", "medium", "low").index(r.priority) for r in feed]
     assert ranks == sorted(ranks) and feed[0].period == "2026-07"
+
+
+def test_turns_travel_without_maps_and_unread_texts(spark, shop):
+    asked = spark.createDataFrame([(1, 1, "请问牛肉 poke 六月多少钱"), (1, 2, "五月呢")], "conv_id long, turn long, text string")
+    found = an.answer(asked, shop, carried=("conv_id", "turn"), evidence=False)
+    assert "text" not in found.columns
+    assert {(r.turn, r.product, r.citations[0].evidence_id) for r in found.collect()} == {(1, "牛肉poke", None), (2, "牛肉poke", None)}
+    grouped = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "collect_list" in line]
+    assert grouped and not any("own_state" not in line or "plain" in line for line in grouped if "kept" in line)
