@@ -37,10 +37,16 @@ def _inner(literal: Column) -> Column:
 
 def canonical_row(columns: list[str]) -> Column:
     """A row of strings as JSON: sorted keys, ``", "`` and ``": "``."""
-    members = [
-        F.concat(F.lit(_json_key(name) + ": "), json_text(F.col(f"`{name}`"))) for name in sorted(columns)
-    ]
-    return F.concat(F.lit("{"), F.concat_ws(", ", *members), F.lit("}"))
+    cells = [F.col(f"`{name}`") for name in sorted(columns)]
+
+    def row(texts: list[Column]) -> Column:
+        members = [F.concat(F.lit(_json_key(name) + ": "), text) for name, text in zip(sorted(columns), texts, strict=True)]
+        return F.concat(F.lit("{"), F.concat_ws(", ", *members), F.lit("}"))
+
+    # Most rows have nothing to escape; one look at all their cells tells.
+    plain = [F.coalesce(F.concat(F.lit('"'), cell, F.lit('"')), F.lit("null")) for cell in cells]
+    escapes = F.concat_ws("", *cells).rlike(r"[^\x20\x21\x23-\x5B\x5D-\x7E]")
+    return F.when(escapes, row([json_text(cell) for cell in cells])).otherwise(row(plain))
 
 
 def _json_key(name: str) -> str:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sumstead.fixed_values import CURRENCY_SIGN
 from sumstead.functions.text import ascii_digits, strip, strip_or_null
+from sumstead.session import compiled_methods
 
 DATE_REPAIRED = "date_format_normalized"
 IDENTIFIER_REPAIRED = "identifier_normalized"
@@ -20,6 +21,7 @@ CURRENCY_REPAIRED = "currency_symbol_removed"
 
 def parse(df: DataFrame, identifier: tuple[str, ...] = (), text: tuple[str, ...] = (),
           date: tuple[str, ...] = (), whole: tuple[str, ...] = (), money: tuple[str, ...] = ()) -> DataFrame:
+    compiled_methods(df.sparkSession)
     raw = df.columns
     cells = (*identifier, *text, *date, *whole, *money)
     stripped = df.select("*", *[strip_or_null(F.col(c)).alias(f"{c}_text") for c in cells])

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from sumstead import fixed_values as fixed
 from sumstead.functions.text import contains_any, without_whitespace
+from sumstead.session import compiled_methods
 
 PRODUCT_REVENUE = "product_revenue"
 CATEGORY_LEADER = "category_leader"
@@ -103,6 +104,7 @@ def summary_phrase(plain: Column) -> Column:
 
 def read_questions(questions: DataFrame, text: str = "text") -> DataFrame:
     """L1-L4 for a table of questions."""
+    compiled_methods(questions.sparkSession)
     given = questions.columns
     plain = questions.withColumn("plain", plain_question(F.col(text)))
     ruled = plain.select(

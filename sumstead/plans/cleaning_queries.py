@@ -13,6 +13,7 @@ from sumstead.functions.hashing import fingerprint
 from sumstead.functions.text import entity_key
 from sumstead.model import Source
 from sumstead.operators import cleaning as c
+from sumstead.operators.skew import fits_broadcast
 from sumstead.plans import views as v
 from sumstead.session import cut_lineage, new_folder
 from sumstead.sources import runs as r
@@ -24,8 +25,8 @@ def write_csv(frame: DataFrame, path: str) -> str:
     return path
 
 
-def run_store(spark: SparkSession, sf_dir: str) -> r.RunStore:
-    """The raw tables as CSV files, taken in twice and processed twice."""
+def raw_store(spark: SparkSession, sf_dir: str) -> r.RunStore:
+    """The raw tables as CSV files, taken in twice."""
     base = new_folder(spark, "run")
     ordered = v.raw_sales(spark, sf_dir).orderBy("source_row_number")
     frames = {
@@ -39,6 +40,12 @@ def run_store(spark: SparkSession, sf_dir: str) -> r.RunStore:
     store = r.RunStore(spark, base, replace(v.STAR_MODEL, slug="shop", sources=sources))
     store.ingest(replace=False)
     store.ingest(replace=True)
+    return store
+
+
+def run_store(spark: SparkSession, sf_dir: str) -> r.RunStore:
+    """The raw tables taken in twice and processed twice."""
+    store = raw_store(spark, sf_dir)
     store.process(c.restaurant_processor)
     store.process(c.restaurant_processor)
     return store
@@ -54,7 +61,7 @@ def s1_text_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s2_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = run_store(spark, sf_dir)
+    store = raw_store(spark, sf_dir)
     return scans.unpack(store.raw("sales"), ("order_id", "date", "amount"))
 
 
@@ -108,7 +115,7 @@ def s6_source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s7_replaced_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = run_store(spark, sf_dir)
+    store = raw_store(spark, sf_dir)
     visible = store.raw_all().groupBy("run_id").agg(F.count(F.lit(1)).alias("visible_records"))
     return store.ingestion_runs().join(visible, "run_id", "left").select(
         "run_id", "status", F.coalesce("visible_records", F.lit(0)).cast("bigint").alias("visible_records")
@@ -206,9 +213,17 @@ def f5_quarantine_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _referred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates with what their keys refer to; parsed once, also where products are too large to broadcast and keys are counted first."""
+    rows = candidates(spark, sf_dir).select("source_row_number", "store_id", "product_id", "quantity", "amount_cents")
+    products = c.canonicalize_products(v.raw_products(spark, sf_dir))
+    if not fits_broadcast(products):
+        rows = cut_lineage(rows, "candidates")
+    return c.add_references(rows, c.canonicalize_stores(v.raw_stores(spark, sf_dir)), products, rows)
+
+
 def j3_unknown_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = run(spark, sf_dir)
-    referred = c.add_references(clean.candidates, clean.stores, clean.products, clean.candidates)
+    referred = _referred(spark, sf_dir)
     return referred.where(F.col("known_store").isNull() | F.col("unit_price_cents").isNull()).select(
         "source_row_number", "store_id", "product_id",
         F.col("known_store").isNull().alias("unknown_store"), F.col("unit_price_cents").isNull().alias("unknown_product"),
@@ -216,8 +231,7 @@ def j3_unknown_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j4_price_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = run(spark, sf_dir)
-    referred = c.add_references(clean.candidates, clean.stores, clean.products, clean.candidates)
+    referred = _referred(spark, sf_dir)
     return referred.where(F.col("unit_price_cents").isNotNull()).select(
         "source_row_number", "unit_price_cents",
         (F.abs("amount_cents") == F.try_multiply(F.col("quantity"), F.col("unit_price_cents"))).alias("price_matches"),
@@ -242,7 +256,7 @@ def a8_conflict_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def w1_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.duplicate_events(candidates(spark, sf_dir)).drop("source_name")
+    return c.duplicate_events(cut_lineage(candidates(spark, sf_dir), "candidates")).drop("source_name")
 
 
 def w2_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:

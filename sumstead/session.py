@@ -27,6 +27,21 @@ def build_session(app: str, master: str = "local[8]", shuffle_partitions: int =
     )
 
 
+#: Longest generated method, in bytes of code, that the JVM compiles; longer ones stay interpreted.
+COMPILED_BYTES = 8000
+
+
+def compiled_methods(spark: SparkSession) -> None:
+    """Has a stage run operator by operator where its one method would be too long to be compiled.
+
+    For plans of very many expressions, as the cell parsers are.  A session that
+    sets the limit itself keeps its own.
+    """
+    name, default = "spark.sql.codegen.hugeMethodLimit", "65535"
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, str(COMPILED_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as ``spark.checkpoint.dir`` names it.
 

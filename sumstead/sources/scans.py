@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from sumstead.functions.hashing import fingerprint
 from sumstead.model import Source
 from sumstead.operators.skew import join_one
-from sumstead.session import cut_lineage
+from sumstead.session import compiled_methods, cut_lineage
 from sumstead.sources import quoted
 
 RECORD = "_record"
@@ -81,6 +81,7 @@ def _with_place(frame: DataFrame, cells: list[Column], malformed: Column) -> Dat
 
 def raw_records(scanned: DataFrame) -> DataFrame:
     """Each row as payload and fingerprint."""
+    compiled_methods(scanned.sparkSession)
     names = [c for c in scanned.columns if c not in (*PLACE, "malformed")]
     payload = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(f"`{n}`") for n in names]))
     return scanned.select(*PLACE, "malformed", fingerprint(names).alias("fingerprint"), payload.alias("payload"))

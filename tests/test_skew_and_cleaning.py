@@ -150,3 +150,26 @@ def test_store_orders_equal_distinct_counts(spark):
             cell[1] |= {r["order_id"]} - {None}
     found = store_periods(workspace, 2026).select("name", "period", "value", "orders").collect()
     assert sorted(map(tuple, found)) == sorted((n, p, total, len(orders)) for (n, p), (total, orders) in cells.items())
+
+
+def test_rows_without_copies_go_before_the_shuffle(spark):
+    rows = _raw()
+    raw = spark.createDataFrame(
+        rows, "source_row_number long, order_id string, date string, store_id string, product_id string, qty string, amount string, payment string"
+    )
+    found = c.duplicate_events(c.normalize_sales(raw), bound=40_000)
+    assert "_mark" in found._jdf.queryExecution().optimizedPlan().toString()
+    pairs = found.select("source_row_number", F.get_json_object("details", "$.kept_source_row_number").cast("long")).collect()
+    assert sorted(map(tuple, pairs)) == sorted(_expected(rows)[0])
+
+
+def test_parsers_run_as_methods_that_are_compiled(spark):
+    c.normalize_sales(v.raw_sales(spark, SF))
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def test_the_dashboard_counts_orders_one_part_at_a_time(spark):
+    from sumstead.operators.dashboard import dashboard
+
+    plan = dashboard(v.star_workspace(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Expand") == 1

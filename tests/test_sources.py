@@ -59,6 +59,11 @@ def test_runs_replace_supersede_and_repeat(spark):
     assert restaurant_processor is not broken
 
 
+def test_raw_rows_do_not_wait_for_processing(spark):
+    store = cq.raw_store(spark, "/root/testdata/sf0.001")
+    assert store.processing_runs().count() == 0 and store.raw("sales").count() > 0
+
+
 FILES = {
     "sales": ("order_id,date,store_id,product_id,qty,amount,payment", ["A1,2031-03-04,K1,G1,2,6.00,card", "A2,2031-03-05,K1,G1,1,3.00,card"]),
     "stores": ("store_id,store_name,category,district", ["K1,North,Grill,Hill"]),
