@@ -23,7 +23,7 @@ from sumstead.operators import questions as q
 from sumstead.operators.conversations import CHUNK, contexts, state
 from sumstead.operators.insights import last_two_months, monthly_series
 from sumstead.operators.linking import link_texts
-from sumstead.operators.skew import join_one
+from sumstead.operators.skew import fits_broadcast, join_one
 from sumstead.session import cut_lineage
 
 # A question's identity; its words are in ``text``.
@@ -69,12 +69,16 @@ def calendar(workspace: Workspace, year: int | None = None) -> Calendar:
     return Calendar(row["year"] or 1, row["first_day"], row["last_day"], row["months"], tuple(row["sold_months"] or ()))
 
 
-def _monthly(workspace: Workspace, key: str, year: int, *also: str) -> DataFrame:
-    """Cents by key, month of ``year`` (null outside it) and other columns: facts are added up once."""
+def _month_of(workspace: Workspace, year: int) -> Column:
+    """The month of ``year``, null outside it."""
     day = F.col(workspace.model.date_column)
-    month = F.when(F.year(day) == year, F.month(day)).alias("_month")
-    facts = workspace.facts.select(F.col(key).alias("_key"), month, "amount_cents", *also)
-    return facts.groupBy("_key", "_month", *also).agg(F.sum("amount_cents").alias("amount_cents"))
+    return F.when(F.year(day) == year, F.month(day))
+
+
+def _monthly(workspace: Workspace, key: str, year: int) -> DataFrame:
+    """Cents by key and month of ``year``: facts are added up once."""
+    facts = workspace.facts.select(F.col(key).alias("_key"), _month_of(workspace, year).alias("_month"), "amount_cents")
+    return facts.groupBy("_key", "_month").agg(F.sum("amount_cents").alias("amount_cents"))
 
 
 def _by_period(sums: DataFrame) -> DataFrame:
@@ -128,35 +132,35 @@ def product_rankings(products: DataFrame) -> DataFrame:
 
 
 def store_periods(workspace: Workspace, year: int, bound: int | None = None) -> DataFrame:
-    """The cube behind L13: (name, period, value, orders), from one pass without a distinct count.
+    """The cube behind L13: (name, period, value, orders), without a distinct count.
 
     The periods of an order in a store are the bits of one number, which merge
     exactly; so each order is one row of its store, and a period's orders are
-    the rows that have its bit.
+    the rows that have its bit.  Amounts are added up apart, so they do not
+    travel with the orders.
     """
     key, names = _names(workspace, "store")
-    # One row per store, month and order before anything is joined.
-    cells = join_one(_monthly(workspace, key, year, "order_id"), names, "_key", bound=bound)
-    in_period = [F.lit(True), *[F.col("_month") == m for m in range(1, PERIODS)]]
-    bit = F.lit(1).bitwiseOR(F.call_function("shiftleft", F.lit(1), F.coalesce("_month", F.lit(0))))
-    orders = cells.groupBy("name", "order_id").agg(
-        F.bit_or(bit).alias("_periods"),
-        *[F.sum(F.when(here, F.col("amount_cents"))).alias(f"_{p}") for p, here in enumerate(in_period)])
-
-    def has(p: int) -> Column:
-        return F.col("_periods").bitwiseAND(F.lit(1 << p)) != 0
-
+    bit = F.lit(1).bitwiseOR(F.call_function("shiftleft", F.lit(1), F.coalesce(_month_of(workspace, year), F.lit(0))))
+    sold = workspace.facts.where(F.col("order_id").isNotNull()).select(F.col(key).alias("_key"), bit.alias("_periods"), "order_id")
+    if not fits_broadcast(names, bound):
+        # One row per key and order before anything is joined.
+        sold = sold.groupBy("_key", "order_id").agg(F.bit_or("_periods").alias("_periods"))
+    orders = join_one(sold, names, "_key", bound=bound).groupBy("name", "order_id").agg(F.bit_or("_periods").alias("_periods"))
     periods = [
-        F.struct(F.lit(p).alias("period"), F.sum(f"_{p}").cast("bigint").alias("value"),
-                 F.count_if(has(p) & F.col("order_id").isNotNull()).alias("orders"), F.bool_or(has(p)).alias("sold"))
+        F.struct(F.lit(p).alias("period"), F.count_if(F.col("_periods").bitwiseAND(F.lit(1 << p)) != 0).alias("orders"))
         for p in range(PERIODS)
     ]
-    return orders.groupBy("name").agg(F.array(*periods).alias("_cells")).select("name", F.inline("_cells")).where("sold").drop("sold")
+    counts = orders.groupBy("name").agg(F.array(*periods).alias("_cells")).select("name", F.inline("_cells"))
+    values = revenue_by_period(workspace, "store", year, bound)
+    # A cell without orders may have a value, and names may be null: both sides are added up, not joined.
+    both = values.withColumn("orders", F.lit(0).cast("bigint")).unionByName(
+        counts.where("orders > 0").withColumn("value", F.lit(None).cast("bigint")))
+    return both.groupBy("name", "period").agg(F.max("value").alias("value"), F.max("orders").alias("orders"))
 
 
 def store_leaders(workspace: Workspace, year: int, bound: int | None = None) -> DataFrame:
     """Number of stores, the revenue leader and its average order value."""
-    stores = store_periods(workspace, year, bound)
+    stores = cut_lineage(store_periods(workspace, year, bound), "stores")
     counts = stores.groupBy("period").agg(F.count(F.lit(1)).alias("stores"))
     top = leaders(stores, 1).select(
         "period", F.col("name").alias("store"), F.col("value").alias("store_value"),
@@ -221,7 +225,7 @@ def resolve(questions: DataFrame, workspace: Workspace, cal: Calendar, bound: in
     read = ("match_count", "matched", "own_product", "intent", "follow_up", "month", "own_month")
     turns = linked.select(*given, *read, own_state.alias("own_state"))
     # The largest turn number bounds the length of every conversation.
-    longest = questions.agg(F.max("turn")).first()[0]
+    longest = cut_lineage(questions.agg(F.max("turn").alias("turn")), "longest").first()[0]
     carried = contexts(turns, _leaves_context(cal, F.col("month")), longest=longest, chunk=chunk)
     inherits = F.col("before").isNotNull() & F.col("follow_up") & F.col("month").isNotNull()
     inherited_product = F.when(F.col("match_count") == 1, F.col("matched")).when(
@@ -292,10 +296,12 @@ def _as_answer(intent: str, refusals: list[tuple[Column, str, Column | str]], te
 def period_answers(workspace: Workspace, cal: Calendar, products: DataFrame, bound: int | None = None) -> DataFrame:
     """All answers that name no product, one row per intent and period.
 
-    ``products`` is the product cube of the calendar's year.
+    ``products`` is the product cube of the calendar's year.  Each part is
+    stored as soon as it is made: it has PERIODS rows at most, while what is
+    shuffled for it grows with the facts.
     """
     year = cal.year
-    trend = last_two_months(monthly_series(workspace))
+    trend = cut_lineage(last_two_months(monthly_series(workspace)), "trend")
     frame = _period_queries(workspace, cal)
     for part in (
         category_leaders(workspace, year, bound),
@@ -303,7 +309,7 @@ def period_answers(workspace: Workspace, cal: Calendar, products: DataFrame, bou
         store_leaders(workspace, year, bound),
     ):
         # PERIODS rows at most on both sides.
-        frame = frame.join(F.broadcast(part), "period", "left")
+        frame = frame.join(F.broadcast(cut_lineage(part, "part")), "period", "left")
     frame = frame.withColumn("_trend", trend.select(F.struct(*trend.columns)).scalar())
     month = F.when(F.col("period") > 0, F.col("period"))
     month_text = fill(fixed.PERIOD_MONTH, month=F.col("period"))

@@ -11,6 +11,7 @@ from sumstead.operators import linking as li
 from sumstead.operators import metrics as m
 from sumstead.operators import questions as qu
 from sumstead.plans import views as v
+from sumstead.session import cut_lineage
 
 KEYS = ("conv_id", "turn")
 
@@ -146,7 +147,10 @@ _KINDS = {
 
 
 def _expected(workspace: Workspace, kind: str, metric: str, dimension: str | None, best: bool = False) -> DataFrame:
-    """What metric queries say for each month and, if there is a dimension, for all time: kind, name, date, expected."""
+    """What metric queries say for each month and, if there is a dimension, for all time: kind, name, date, expected.
+
+    Each is stored as soon as it is made, so that no two need the disk at once.
+    """
     found = []
     for dated in (True, False) if dimension else (True,):
         keys = tuple(k for k in (dimension, "date" if dated else None) if k)
@@ -156,7 +160,8 @@ def _expected(workspace: Workspace, kind: str, metric: str, dimension: str | Non
             F.lit(kind).alias("kind"), name.alias("name"), (F.col("date") if dated else F.lit("")).alias("date"),
             F.col(metric).cast("double").alias("expected"),
         )
-        found.append(rows.groupBy("kind", "name", "date").agg(F.max("expected").alias("expected")) if best else rows)
+        rows = rows.groupBy("kind", "name", "date").agg(F.max("expected").alias("expected")) if best else rows
+        found.append(cut_lineage(rows, "expected"))
     return found[0].unionByName(found[-1]) if dimension else found[0]
 
 
@@ -190,7 +195,7 @@ def j9_reconciled_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     value = F.coalesce("expected", F.lit(0.0))
     wrong = ~(F.col("low").eqNullSafe(value) & F.col("high").eqNullSafe(value))
-    return cited.join(expected, ["kind", "name", "date"], "left").groupBy("kind").agg(
+    return cut_lineage(cited, "cited").join(expected, ["kind", "name", "date"], "left").groupBy("kind").agg(
         F.sum("answers").cast("bigint").alias("answers"), F.count(F.lit(1)).alias("cells"),
         F.count_if(wrong).alias("mismatches"),
     )

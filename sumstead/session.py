@@ -63,12 +63,23 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Whether Spark removes the shuffle files of a job when it ends, not when the driver's memory is next cleaned up.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     """The frame, written once to the shared folder as Parquet and read back.
 
     For frames that several branches of one plan use; survives lost executors,
-    and later readers still get pruning and statistics.
+    and later readers still get pruning and statistics.  What was shuffled to
+    write it is removed from the disks at once, as nothing reads it again; so
+    steps that are stored one after another need the disk of the largest only.
     """
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    path, conf = new_folder(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(RELEASE, "false")
+    conf.set(RELEASE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(RELEASE, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,9 @@ from sumstead.operators import conversations as co
 from sumstead.operators import questions as q
 from sumstead.operators.insights import insight_feed
 from sumstead.operators.metrics import metric_points
+from sumstead.plans.question_queries import j9_reconciled_answers
 from sumstead.plans.views import STAR_MODEL
+from sumstead.session import RELEASE, cut_lineage
 
 READINGS = [
     ("凉茶的销售额", "product_revenue", "凉茶", None),
@@ -143,3 +146,62 @@ def test_turns_travel_without_maps_and_unread_texts(spark, shop):
     assert {(r.turn, r.product, r.citations[0].evidence_id) for r in found.collect()} == {(1, "牛肉poke", None), (2, "牛肉poke", None)}
     grouped = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "collect_list" in line]
     assert grouped and not any("own_state" not in line or "plain" in line for line in grouped if "kept" in line)
+
+
+def test_reconciled_answers_store_each_part(spark, tmp_path):
+    """What is left to run reads stored parts only, so no two of them are shuffled at once."""
+    days = F.date_add(F.lit("2026-05-01").cast("date"), (F.col("id") % 80).cast("int"))
+    tables = {
+        "region": spark.createDataFrame([(0, "A"), (1, "B")], "r_regionkey int, r_name string"),
+        "nation": spark.createDataFrame([(0, "x", 0), (1, "y", 1)], "n_nationkey int, n_name string, n_regionkey int"),
+        "supplier": spark.range(4).selectExpr("id AS s_suppkey", "concat('S', id) AS s_name", "cast(id % 2 AS int) AS s_nationkey"),
+        "part": spark.createDataFrame([(0, "red bolt", "t"), (1, "blue ring", "t"), (2, "old plate", "u")], "p_partkey long, p_name string, p_type string"),
+        "orders": spark.range(64).selectExpr("id AS o_orderkey"),
+        "lineitem": spark.range(200).select(
+            (F.col("id") % 64).alias("l_orderkey"), (F.col("id") % 3).alias("l_partkey"), (F.col("id") % 4).alias("l_suppkey"),
+            F.lit(1.0).alias("l_quantity"), (F.col("id") + 0.5).alias("l_extendedprice"), days.alias("l_shipdate"), F.lit("N").alias("l_returnflag")),
+    }
+    for name, frame in tables.items():
+        frame.write.parquet(f"{tmp_path}/{name}.parquet")
+
+    released = spark.conf.get(RELEASE)
+    found = j9_reconciled_answers(spark, str(tmp_path))
+    assert found.inputFiles() and not any(str(tmp_path) in path for path in found.inputFiles())
+    assert spark.conf.get(RELEASE) == released
+    rows = {r["kind"]: r for r in found.collect()}
+    assert set(rows) >= {"product", "store", "store_aov"} and not any(r["mismatches"] for r in rows.values())
+
+
+def test_a_stored_frame_leaves_no_shuffle_files(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before = shuffled()
+    frame = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    stored = cut_lineage(frame)
+    until = time.time() + 60
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.5)
+    assert not shuffled() - before
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, frame.collect()))
+
+
+@pytest.mark.parametrize("bound", [None, 0])
+def test_store_periods_take_nulls_and_repeated_keys(spark, bound):
+    stores = [(1, "North"), (1, "North"), (2, None), (3, None), (4, "South")]
+    sales = [("a", "2026-05-01", 1, 5), ("a", "2026-06-01", 1, None), (None, "2026-06-01", 1, 7), (None, None, 4, 3), ("b", "2025-06-01", 2, 2),
+             ("b", "2026-07-01", 3, 4), ("c", "2026-07-01", 3, 4), ("c", "2026-07-01", None, 9), ("d", "2026-08-01", 4, None)]
+    facts = spark.createDataFrame(sales, "order_id string, d string, store_id long, amount_cents long").withColumn("sale_date", F.to_date("d"))
+    workspace = Workspace(STAR_MODEL, facts, {"store": spark.createDataFrame(stores, "store_id long, store_name string")})
+    wanted = {}
+    for order, day, key, cents in sales:
+        for own, name in stores:
+            if own == key:
+                for period in {0} | ({int(day[5:7])} if day and day[:4] == "2026" else set()):
+                    cell = wanted.setdefault((name, period), [None, set()])
+                    cell[0] = cell[0] if cents is None else (cell[0] or 0) + cents
+                    cell[1] |= {order} - {None}
+    found = an.store_periods(workspace, 2026, bound).collect()
+    assert len(found) == len(wanted)
+    assert {(r["name"], r["period"]): (r["value"], r["orders"]) for r in found} == {k: (v, len(o)) for k, (v, o) in wanted.items()}
