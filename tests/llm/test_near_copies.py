@@ -123,3 +123,32 @@ def test_the_trees_link_before_the_exact_check(spark, monkeypatch):
     assert kept(spark.createDataFrame(docs, "doc_id bigint, text string")) == brute(docs) == [0, 2]
     prints = [n.simhash_tree.of_hashes([n.shingles(t.encode())]) for _, t in docs]
     assert prints[0] == prints[1] or {prints[0], prints[1]} in [set(e) for e in linked]
+
+
+def test_the_order_of_shingles_counts_every_text(spark, monkeypatch):
+    found = []
+
+    def spied(texts, counts):
+        found.append(counts)
+        return keys(texts, counts)
+
+    keys = n._keys
+    monkeypatch.setattr(n, "_keys", spied)
+    docs = [(i, f"w{i} a b c d e f") for i in range(9000)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    assert pipeline.drop_near_copies(spark, frame, "").count() == 9000
+    at = np.concatenate([n.shingles(t.encode()) for _, t in docs]) % np.uint64(n.COUNTERS)
+    wanted = np.bincount(at.astype(np.int64), minlength=n.COUNTERS)
+    assert wanted.max() >= 9000 and np.array_equal(found[0], wanted)
+
+
+def test_counters_grow_with_what_they_count(spark, monkeypatch):
+    """Batches of 50 texts: two tasks count 350 of a shingle each, more than a byte holds."""
+    monkeypatch.setattr(n, "by_bytes", lambda batch, *_: (batch.slice(i, 50) for i in range(0, batch.num_rows, 50)))
+    docs = [(i, f"a b c d e{i % 2} f") for i in range(1400)] + [(1400, None), (1401, " ")]
+    texts = spark.createDataFrame(docs, "node bigint, _text string").repartition(2)
+    wanted = np.bincount((np.concatenate([n.shingles((t or "").encode()) for _, t in docs]) % np.uint64(n.COUNTERS)).astype(np.int64),
+                         minlength=n.COUNTERS)
+    counts = n.shingle_counters(texts)
+    assert counts.dtype == np.uint16 and np.array_equal(counts, wanted)
+    assert not n.shingle_counters(texts.where("false")).any()
